@@ -10,8 +10,9 @@ Every step is exact whatever the data; what follows only decides how much work i
    least min(`common`, t) of the first n - t + `common` shingles in that order. Only those are dealt out, and of
    those only the ones that can occur in another document.
 3. *Groups.* Documents with equal sets are one class; classes with equal size and equal prefix are one group. Groups
-   with a shared prefix shingle are paired and pairs are filtered by size and number of shared shingles; then they
-   are expanded to their classes and verified on full sets.
+   with a shared prefix shingle are paired; pairs are filtered by size, by how many of their shingles can be in two
+   documents at all, and by the number that their prefixes share; then they are expanded to their classes and
+   verified on full sets.
 4. *Large groups of copies.* Only components are wanted, so no group's pairs are listed while they can be avoided.
    First each class is verified against one pivot (the group's, or that of the prefix shingles it shares most):
    a number of pairs that grows with the rows. The links give components. Then the pairs whose ends are still in
@@ -113,8 +114,9 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int, common: int) -> DataFrame:
-    """doc_id, n (set size), node (digest of the set), prefix (digest of the whole prefix, null without shingles),
-    tokens (those hashes of the prefix that may be in two documents, 8 bytes each)."""
+    """doc_id, n (set size), shareable (how many of the set may be in two documents), node (digest of the set), prefix
+    (digest of the whole prefix and of shareable, null without shingles), tokens (the shareable hashes of the prefix, 8
+    bytes each; null where there are too few shareable ones for any link)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(levels)
     shift = U64(64 - int(levels.size).bit_length() + 1)
@@ -123,25 +125,26 @@ def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int,
         level = table.value
         for batch in batches:
             for part, raw, at in slices(batch, "text"):
-                n, node, prefix, tokens = [], [], [], []
+                n, shareable, node, prefix, tokens = [], [], [], [], []
                 for s in shingle_sets(raw, at, k):
                     n.append(len(s))
                     if not len(s):
-                        node.append(None), prefix.append(None), tokens.append(None)
+                        shareable.append(0), node.append(None), prefix.append(None), tokens.append(None)
                         continue
                     need = -(-percent * len(s) // 100)
                     of = level[(s >> shift).astype(np.int64)]
+                    shareable.append(int(np.count_nonzero(of)))
                     first = np.argsort(of, kind="stable")[: len(s) - need + common]
                     node.append(_digest(s))
-                    prefix.append(_digest(np.append(s[first], U64(len(s)))))
-                    tokens.append(s[first][of[first] > 0].tobytes())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+                    prefix.append(_digest(np.append(s[first], np.array([len(s), shareable[-1]], U64))))
+                    tokens.append(s[first][of[first] > 0].tobytes() if shareable[-1] >= need else None)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "shareable": pa.array(shareable, pa.int64()), "node": pa.array(node, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n bigint, node binary, prefix binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n bigint, shareable bigint, node binary, prefix binary, tokens binary")
 
 
 def _explode_tokens(rows: DataFrame) -> DataFrame:
-    """gid, n, tokens -> token, gid, n."""
+    """gid, n, v (shareable), tokens -> token, gid, n, v."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +153,9 @@ def _explode_tokens(rows: DataFrame) -> DataFrame:
                 blobs = part.column("tokens").to_pylist()
                 sizes = np.array([len(b) // 8 for b in blobs], np.int64)
                 at = pa.array(np.repeat(np.arange(len(blobs)), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), part.column("gid").take(at), part.column("n").take(at)], names=["token", "gid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), part.column("gid").take(at), part.column("n").take(at), part.column("v").take(at)], names=["token", "gid", "n", "v"])
 
-    return rows.select("gid", "n", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint")
+    return rows.select("gid", "n", "v", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint, v bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
@@ -202,21 +205,24 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = frequency_levels(docs, k, table_bits)
     rows = settle(document_prefixes(docs, levels, k, percent, common), "prefixes")
-    classes = settle(rows.where("node is not null and doc_id is not null").groupBy("node", "n", "prefix").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = settle(rows.where("node is not null and doc_id is not null").groupBy("node", "n", "shareable", "prefix").agg(F.min("doc_id").alias("rep")), "classes")
     groups = classes.groupBy("prefix").agg(F.min("rep").alias("grep"), F.count("*").alias("members"))
-    heads = classes.join(groups, "prefix").where("rep = grep").groupBy("prefix", "n").agg(F.min("node").alias("pivot"), F.min("grep").alias("grep"), F.max("members").alias("members"))
-    heads = settle(heads.select(F.col("prefix").alias("gid"), "n", "pivot", "grep", "members"), "groups")
-    tokens = rows.where("length(tokens) > 0").select(F.col("prefix").alias("gid"), F.col("doc_id").alias("grep"), "tokens").join(heads.select("gid", "grep", "n"), ["gid", "grep"]).dropDuplicates(["gid"])
+    heads = classes.join(groups, "prefix").where("rep = grep").groupBy("prefix", "n", "shareable").agg(F.min("node").alias("pivot"), F.min("grep").alias("grep"), F.max("members").alias("members"))
+    heads = settle(heads.select(F.col("prefix").alias("gid"), "n", F.col("shareable").alias("v"), "pivot", "grep", "members"), "groups")
+    tokens = rows.where("length(tokens) > 0").select(F.col("prefix").alias("gid"), F.col("doc_id").alias("grep"), "tokens").join(heads.select("gid", "grep", "n", "v"), ["gid", "grep"]).dropDuplicates(["gid"])
     listed = _explode_tokens(tokens)
-    shared = listed.groupBy("token").agg(F.count("*").alias("f"), F.min("gid").alias("head")).where("f > 1")
-    postings = settle(listed.join(shared, "token").select("token", "gid", "n", "head"), "postings")
+    # The head of a shingle's list is the document with the least of its own: where copies of one text differ, that text.
+    own = F.struct((F.col("n") - F.col("v")).alias("own"), "gid")
+    shared = listed.groupBy("token").agg(F.count("*").alias("f"), F.min(own).alias("head")).where("f > 1").select("token", F.col("head.gid").alias("head"))
+    postings = settle(listed.join(shared, "token").select("token", "gid", "n", "v", "head"), "postings")
 
     # Each class against one pivot.
     inside = classes.join(heads.where("members > 1").select(F.col("gid").alias("prefix"), "pivot", "grep"), "prefix").where("node != pivot")
     inside = inside.select(F.col("pivot").alias("a"), F.col("grep").alias("a_id"), F.col("node").alias("b"), F.col("rep").alias("b_id"))
     stars = postings.where("gid != head").groupBy("gid", "head").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "head")).alias("best")).select("gid", F.col("best.head").alias("head"))
-    one, other = heads.select(F.col("gid").alias("head"), F.col("pivot").alias("a"), F.col("grep").alias("a_id"), F.col("n").alias("a_n")), heads.select("gid", F.col("pivot").alias("b"), F.col("grep").alias("b_id"), F.col("n").alias("b_n"))
-    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    one, other = heads.select(F.col("gid").alias("head"), F.col("pivot").alias("a"), F.col("grep").alias("a_id"), F.col("n").alias("n1"), F.col("v").alias("v1")), heads.select("gid", F.col("pivot").alias("b"), F.col("grep").alias("b_id"), F.col("n").alias("n2"), F.col("v").alias("v2"))
+    # What two sets share is at most what either can share.
+    fits = f"{100 + percent} * least(v1, v2) >= {percent} * (n1 + n2)"
     across = stars.join(one, "head").join(other, "gid").where(fits).select("a", "a_id", "b", "b_id")
     links = settle(verified(settle(inside.union(across), "stars"), docs, k, percent, block), "links")
 
@@ -227,13 +233,13 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     # What is left: pairs of groups whose ends are in different components.
     now = settle(labelled(links), "components")
     state = now.groupBy("prefix").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed")).withColumnRenamed("prefix", "gid")
-    lists = postings.select("token", "gid", "n").join(state, "gid")
+    lists = postings.select("token", "gid", "n", "v").join(state, "gid")
     counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"))
     lists_of = counts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.max("mixed").alias("any")).where("comps > 1 or any").select("token", F.col("major.comp").alias("major"))
     lists = settle(lists.join(lists_of, "token"), "lists")
-    left = lists.where("comp != major or mixed").selectExpr("token", "gid as g1", "n as n1", "comp as c1", "mixed as m1")
-    right = lists.selectExpr("token", "gid as g2", "n as n2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
-    met = left.join(right, "token").where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    left = lists.where("comp != major or mixed").selectExpr("token", "gid as g1", "n as n1", "v as v1", "comp as c1", "mixed as m1")
+    right = lists.selectExpr("token", "gid as g2", "n as n2", "v as v2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
+    met = left.join(right, "token").where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {fits}")
     need = F.least(F.lit(common), F.expr(f"cast(ceil({percent} * greatest(n1, n2) / 100.0D) as int)"))
     met = met.groupBy(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), need.alias("need")).agg(F.count("*").alias("c")).where("c >= need").select("g1", "g2")
     met = met.union(state.where("mixed").selectExpr("gid as g1", "gid as g2"))
