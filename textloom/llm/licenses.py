@@ -9,7 +9,7 @@ template it is smaller still. Retrieved templates are verified: the share of a t
 text holds must be `percent`/100 or more.
 
 Windows are rows of the word hashes next to each other, made by a generator from shifted arrays, so hashing and the
-tests against the templates' few keys are compiled code; only hits are ever shuffled, never texts.
+look-up of the templates' few keys are compiled code; only hits are ever shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ SHINGLE_WORDS = 5
 SHINGLES = 4
 WINDOW_WORDS = SHINGLE_WORDS + SHINGLES - 1
 BANDS = 10
+MOST_TEMPLATES = 1000
 
 #: Notices by licence, as their publishers word them (fixed values).
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -70,10 +71,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
 
     Texts are scanned whole. Null, empty or shorter texts (fewer than five words) hold nothing. A null doc_id counts as
     a document of its own text; rows that repeat doc_id and text count once. The templates are a list in the
-    program: their shingles and keys become constants of the plan, so at most 200 templates are taken.
+    program, whose keys are broadcast, so at most `MOST_TEMPLATES` are taken.
     """
-    if len(templates) > 200:
-        raise ValueError("at most 200 templates")
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"at most {MOST_TEMPLATES} templates")
     spark = docs.sparkSession
     own = _windows(template_table(spark, templates), ["license"])
     # A template's windows of 1, 2, 3 and 4 shingles from each position.
@@ -81,26 +82,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     every = widths[0]
     for x in widths[1:]:
         every = every.union(x)
-    band_rows = every.select("license", F.explode(F.array(*_bands())).alias("key")).distinct().collect()
-    shingle_rows = own.select("license", "s0").distinct().collect()
-    keys, shingles = sorted({r["key"] for r in band_rows}), sorted({r["s0"] for r in shingle_rows})
-    by_key = spark.createDataFrame([(r["key"], r["license"]) for r in band_rows], "key bigint, license string")
-    by_shingle = spark.createDataFrame([(r["s0"], r["license"]) for r in shingle_rows], "s bigint, license string")
-    needed = by_shingle.groupBy("license").agg(F.count("*").alias("n_shingles"))
+    # What windows are looked up in: a template's band keys (kind 0) and shingles (kind 1). It is as large as the templates.
+    keys = every.select("license", F.explode(F.array(*_bands())).alias("x"), F.lit(0).alias("kind")).union(own.select("license", F.col("s0").alias("x"), F.lit(1).alias("kind"))).distinct()
+    known = spark.createDataFrame(keys.collect(), "license string, x bigint, kind int")
+    needed = known.where("kind = 1").groupBy("license").agg(F.count("*").alias("n_shingles"))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), word_hashes(F.col("text")).alias("_w"))
-    seen = _windows(rows, ["doc_id", "row"])
-    is_key = F.array_distinct(F.filter(F.array(*_bands()), lambda k: k.isin(keys)))
-    any_band = None
-    for b in _bands():
-        any_band = b.isin(keys) if any_band is None else any_band | b.isin(keys)
-    hits = seen.where(any_band).select("doc_id", "row", "pos", is_key.alias("keys"), F.when(F.col("s0").isin(shingles), F.col("s0")).alias("s"))
-    # One shuffle of the hits: a document's retrieved keys and held shingles, of which there are no more than in the templates.
-    held = hits.select("doc_id", "row", F.explode(F.concat(F.transform("keys", lambda k: F.struct(F.lit(0).alias("kind"), k.alias("x"), F.lit(None).cast("int").alias("pos"))),
-        F.when(F.col("s").isNotNull(), F.array(F.struct(F.lit(1).alias("kind"), F.col("s").alias("x"), F.col("pos").alias("pos")))).otherwise(F.array().cast("array<struct<kind:int,x:bigint,pos:int>>")))).alias("h"))
-    held = held.groupBy("doc_id", "row", F.col("h.kind").alias("kind"), F.col("h.x").alias("x")).agg(F.min("h.pos").alias("pos"))
-    retrieved = held.where("kind = 0").join(F.broadcast(by_key), F.col("x") == F.col("key")).select("doc_id", "row", "license").distinct()
-    shared = held.where("kind = 1").join(F.broadcast(by_shingle), F.col("x") == F.col("s")).groupBy("doc_id", "row", "license").agg(F.count("*").alias("n_shared"), F.min("pos").alias("first_word"))
-    same = shared["doc_id"].eqNullSafe(retrieved["doc_id"]) & (shared["row"] == retrieved["row"]) & (shared["license"] == retrieved["license"])
-    found = shared.join(retrieved, same, "left_semi").join(F.broadcast(needed), "license").where(f"100 * n_shared >= {percent} * n_shingles")
+    asked = _windows(rows, ["doc_id", "row"]).select("doc_id", "row", "pos", F.explode(F.array("s0", *_bands())).alias("x"))
+    # The join is with a broadcast table and lets through the few hits; only those are shuffled.
+    hits = asked.join(F.broadcast(known), "x").groupBy("doc_id", "row", "license", "kind", "x").agg(F.min("pos").alias("pos"))
+    found = hits.groupBy("doc_id", "row", "license").agg(F.sum("kind").alias("n_shared"), F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 1, F.col("pos"))).alias("first_word"))
+    found = found.where("kind = 0").join(F.broadcast(needed), "license").where(f"100 * n_shared >= {percent} * n_shingles")
     return found.select("doc_id", "license", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"), F.col("first_word").cast("long").alias("first_word"))
