@@ -61,7 +61,12 @@ tok AS (SELECT doc_id, text, CAST(pos AS INTEGER) AS pos, word, gap, tail,
     CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS e FROM t1)"""
 
 
-_TRIM = f"regexp_replace(regexp_replace({{}}, '^{_SP}+', ''), '{_SP}+$', '')"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_SP}+', ''), '{_SP}+$', '')"
+
+
 _ACC = "translate({}, 'áéíóúüñçàèìòùâêîôû', 'ABCDEFGHIJKLMNOPQRS')"
 _PAIRS = f"""{_LEX},
 typed AS (SELECT DISTINCT lower(x) AS typed FROM (SELECT unnest({_CHECKED}) AS x FROM (SELECT {_WORDS} AS w FROM documents)) WHERE lower(x) NOT IN (SELECT word FROM known)),
@@ -158,7 +163,7 @@ def match_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- Scalars --------------------------------------------------------------------------------------------------------
-@query(f"SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '{_SP}+')) END::BIGINT AS n_words, length(text)::BIGINT AS n_chars FROM (SELECT doc_id, text, {_TRIM.format('text')} AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '{_SP}+')) END::BIGINT AS n_words, length(text)::BIGINT AS n_chars FROM (SELECT doc_id, text, {_trim('text')} AS t FROM documents)")
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.document_stats(_docs(spark, sf_dir))
 
@@ -166,7 +171,7 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS li, len(ls) AS n FROM l),
-s AS (SELECT doc_id, li, n, list_filter(list_transform(string_split(regexp_replace(line, '([.?!]){_SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS ss, {_TRIM.format('line')} = '' AS blank FROM u),
+s AS (SELECT doc_id, li, n, list_filter(list_transform(string_split(regexp_replace(line, '([.?!]){_SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_trim('x')}), lambda x: x <> '') AS ss, {_trim('line')} = '' AS blank FROM u),
 v AS (SELECT doc_id, li, n, unnest(ss) AS t, unnest(range(len(ss))) AS si FROM s WHERE NOT blank),
 k AS (SELECT doc_id, li, si, n, t, regexp_split_to_array(t, '{_SP}+') AS w FROM v),
 c AS (SELECT doc_id, li, si, n, w, unnest(CASE WHEN len(w) > 25 THEN range(0, len(w), 20) ELSE [0] END) AS i FROM k),
@@ -182,7 +187,10 @@ def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PUNCT = text.PUNCTUATION.replace("'", "''")
 
 
-@query(f"SELECT doc_id, {_TRIM.format(f'''regexp_replace(regexp_replace(text, '({_PUNCT})', ' \\1 ', 'g'), '{_SP}+', ' ', 'g')''')} AS tokenized FROM documents")
+_PADDED = f"regexp_replace(regexp_replace(text, '({_PUNCT})', ' \\\\1 ', 'g'), '{_SP}+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, {_trim(_PADDED)} AS tokenized FROM documents")
 def punct_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.tokenize_punctuation("text").alias("tokenized"))
 
