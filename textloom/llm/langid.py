@@ -23,6 +23,8 @@ from .bytetext import slices, span_hashes
 BARE = -16.0
 #: Log probability by which each byte is scaled, so that sums of products stay near 1.
 SCALE = 2.0
+#: Bytes of units whose lattice the driver holds at a time.
+BLOCK_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ def gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return raw[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def fit(docs: DataFrame, path: str, sample: int = 4000, rounds: int = 3, smoothing: float = 0.5) -> Model:
+def fit(docs: DataFrame, path: str, sample: int = 2000, rounds: int = 3, smoothing: float = 0.5) -> Model:
     """Learns from text and non-null lang of documents that are not held out, and from nothing else.
 
     sample: about so many documents in all, evenly over the languages (all of a language with fewer), chosen by a
@@ -88,24 +90,18 @@ def fit(docs: DataFrame, path: str, sample: int = 4000, rounds: int = 3, smoothi
     distinct = sorted(set(unit_list))
     index = {u: i for i, u in enumerate(distinct)}
     which = np.array([index[u] for u in unit_list], np.int64)
-    net = lattice.build(vocabulary, np.frombuffer(b"".join(distinct), np.uint8), np.array([len(u) for u in distinct], np.int64))
     weights = np.zeros((len(distinct), len(languages)))
     weights[which, of] = n
+    sizes = np.array([len(u) for u in distinct], np.int64)
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, int(sizes.sum()) + BLOCK_BYTES, BLOCK_BYTES))
     width = len(vocabulary) + 1
     probability = np.full((width, len(languages)), 1.0 / width)
-    unit_of = np.searchsorted(net.first, net.source, "right") - 1
-    size = (net.target - net.source).astype(float)
-    lift = np.exp(SCALE * size)[:, None]
-    reverse, order = lattice.mirrored(net)
     for _ in range(rounds):
-        arc = np.where((net.piece >= 0)[:, None], probability[net.piece], np.exp(BARE)) * lift
-        ahead = lattice.forward(net, arc)
-        behind = lattice.forward(reverse, arc[order])
-        total = ahead[net.last]
-        top = int(net.last[-1])
-        share_ = ahead[net.source] * arc * behind[top - net.target] / total[unit_of] * weights[unit_of]
         expected = np.zeros((width, len(languages)))
-        np.add.at(expected, net.piece, share_)
+        for i, j in zip(cuts, cuts[1:]):
+            if i < j:
+                net = lattice.build(vocabulary, np.frombuffer(b"".join(distinct[i:j]), np.uint8), sizes[i:j])
+                _expect(net, probability, weights[i:j], expected)
         expected[-1] = 0
         probability = (expected + smoothing) / (expected + smoothing).sum(0)
     table = np.log(probability)
@@ -113,6 +109,17 @@ def fit(docs: DataFrame, path: str, sample: int = 4000, rounds: int = 3, smoothi
     return Model(languages, table, path)
 
 
+def _expect(net: lattice.Lattice, probability: np.ndarray, weights: np.ndarray, expected: np.ndarray) -> None:
+    """Adds to `expected` how often each piece occurs in a segmentation of the units, which occur `weights` times."""
+    reverse, order = lattice.mirrored(net)
+    arc = np.where((net.piece >= 0)[:, None], probability[net.piece], np.exp(BARE)) * np.exp(SCALE * (net.target - net.source))[:, None]
+    ahead, behind = lattice.forward(net, arc), lattice.forward(reverse, arc[order])
+    unit = np.searchsorted(net.first, net.source, "right") - 1
+    share = ahead[net.source] * arc * behind[int(net.last[-1]) - net.target] / ahead[net.last][unit] * weights[unit]
+    for k in range(expected.shape[1]):
+        expected[:, k] += np.bincount(np.where(net.piece >= 0, net.piece, len(expected) - 1), share[:, k], len(expected))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id, lang_pred, score. lang_pred is `und` with score 0 if text is null or has no letter, or if
     nothing was learned; else the likeliest language (ties: the least) and its posterior probability, with equal

@@ -29,16 +29,18 @@ from .store import settle
 class Options:
     """sample: most vectors that reach the driver. list_rows: wished for in a list, while there are at most
     `most_lists`. degree, beam: of the graph. replicas, boundary: most lists of a vector, and the ratio of squared
-    distances up to which a list is its. probes, ratio: the same for a query. block: most rows of a block."""
+    distances up to which a list is its. probes, ratio: the same for a query, which always takes the `sure` nearest lists.
+    block: most rows of a block."""
 
     sample: int = 40_000
     list_rows: int = 200
     most_lists: int = 16_384
     degree: int = 24
-    beam: int = 96
+    beam: int = 160
     replicas: int = 6
     boundary: float = 1.25
-    probes: int = 72
+    probes: int = 128
+    sure: int = 64
     ratio: float = 2.5
     block: int = 4096
     query_block: int = 512
@@ -194,7 +196,7 @@ def search(vectors: DataFrame, divisor: int = 20, k: int = 20, options: Options
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index)
 
-    def assign(most: int, ratio: float, lift: bool):
+    def assign(most: int, sure: int, ratio: float, lift: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             step = max(64, min(1024, (1 << 25) // len(index.centroids)))
@@ -207,16 +209,16 @@ def search(vectors: DataFrame, divisor: int = 20, k: int = 20, options: Options
                     ids, far = ids[:, :most], far[:, :most]
                     # Of a query, distances count beyond what any vector must have, as all lie on one sphere.
                     least = 0.0 if lift else np.maximum(0.0, np.sqrt(index.norm) - np.sqrt((x**2).sum(1)))[:, None] ** 2
-                    keep = np.isfinite(far) & (far - least <= ratio * (far[:, :1] - least) + 1e-12)
+                    keep = np.isfinite(far) & ((np.arange(far.shape[1]) < sure) | (far - least <= ratio * (far[:, :1] - least) + 1e-12))
                     at = pa.array(np.repeat(np.arange(len(x)), keep.sum(1)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[keep].astype(np.int32)), part.column("vec_id").take(at), part.column("embedding").take(at)], names=["list", "vec_id", "embedding"])
 
         return run
 
     posting = "list int, vec_id bigint, embedding array<double>"
-    lists = settle(rows.mapInArrow(assign(options.replicas, options.boundary, True), posting), "lists")
+    lists = settle(rows.mapInArrow(assign(options.replicas, 1, options.boundary, True), posting), "lists")
     queries = rows.where(f"vec_id % {divisor} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = settle(queries.mapInArrow(assign(options.probes, options.ratio, False), posting), "asked")
+    asked = settle(queries.mapInArrow(assign(options.probes, options.sure, options.ratio, False), posting), "asked")
     sizes = lists.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.block}) as int)").alias("blocks"))
     counts = asked.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.query_block}) as int)").alias("q_blocks"))
     plan = settle(sizes.join(counts, "list"), "blocks")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lattice
 from .bytetext import U64, mix64, slices
@@ -130,7 +131,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
 def decode(rows: DataFrame, model: str, column: str = "piece_ids") -> DataFrame:
     """rows and `text`, decoded from their ids; null ids give a null text."""
-    schema = rows.schema.add("text", "string") if "text" not in rows.columns else rows.drop("text").schema.add("text", "string")
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattice.load(model)
