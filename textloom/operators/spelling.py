@@ -58,8 +58,10 @@ def known_words(lexicon: DataFrame, least: int = KNOWN) -> DataFrame:
 
 
 def checked_words(docs: DataFrame, letters: str = text.LETTERS) -> DataFrame:
-    """doc_id, word: tokens worth a look-up, as typed."""
-    return docs.select("doc_id", F.explode(text.checkable(text.words("text", letters))).alias("word"))
+    """doc_id, word: tokens worth a look-up, as typed. The tokens are a column of their own first: each is judged by the
+    one before it, which must not be found again for each of them."""
+    found = docs.select("doc_id", text.words("text", letters).alias("_w"))
+    return found.select("doc_id", F.explode(text.checkable("_w")).alias("word"))
 
 
 def unknown_words(docs: DataFrame, lexicon: DataFrame, letters: str = text.LETTERS) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import vectors
@@ -124,7 +125,7 @@ def iterate(docs: DataFrame, tagger: Callable[[list[list[str]]], list[list[str]]
             done = [None if t is None else " ".join(w) for t, w in zip(texts, now)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string()), pa.array(count, pa.int32())], names=[*batch.schema.names, "corrected", "passes"])
 
-    return docs.mapInArrow(run, docs.schema.add("corrected", "string").add("passes", "int"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("corrected", T.StringType()), T.StructField("passes", T.IntegerType())]))
 
 
 def detections(scored: DataFrame, words: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PUNCT = text.PUNCTUATION.replace("'", "''")
 
 
-_PADDED = f"regexp_replace(regexp_replace(text, '({_PUNCT})', ' \\\\1 ', 'g'), '{_SP}+', ' ', 'g')"
+_PADDED = f"regexp_replace(regexp_replace(text, '({_PUNCT})', ' \\1 ', 'g'), '{_SP}+', ' ', 'g')"
 
 
 @query(f"SELECT doc_id, {_trim(_PADDED)} AS tokenized FROM documents")
