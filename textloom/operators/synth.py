@@ -72,16 +72,29 @@ def apply_rule(rule: Column, word: Column, r1: Column, r2: Column) -> Column:
         (rule == "delete") & (n > 2), deleted).when(rule == "insert", inserted).when(rule == "double", doubled).otherwise(word)
 
 
-def typo(word: Column | str, seed: Column) -> Column:
-    """struct<typo, type>: the first of three tries that changes the word; null if none does, or if the word is shorter
-    than three letters or holds others."""
-    w = F.col(word) if isinstance(word, str) else word
-    tries = []
-    for k in range(3):
-        rule = F.element_at(F.array(*(F.lit(x) for x in RULES)), _below(draw(seed, 3 * k + 1), F.lit(len(RULES))) + 1)
-        out = apply_rule(rule, w, draw(seed, 3 * k + 2), draw(seed, 3 * k + 3))
-        tries.append(F.when(out != w, F.struct(out.alias("typo"), rule.alias("type"))))
-    return F.when((F.length(w) >= 3) & w.rlike(WORD), F.coalesce(*tries))
+DRAWS = 10
+
+
+def draws(seed: Column) -> Column:
+    """The first DRAWS draws of a seed. Make them a column of their own: each is named many times by what follows, and an
+    expression that holds them in place of their names grows beyond planning."""
+    return F.array(*(draw(seed, n + 1) for n in range(DRAWS)))
+
+
+def _one_try(word: Column, drawn: Column, k: int) -> Column:
+    rule = F.element_at(F.array(*(F.lit(x) for x in RULES)), _below(F.get(drawn, F.lit(3 * k)), F.lit(len(RULES))) + 1)
+    return F.struct(rule.alias("type"), F.get(drawn, F.lit(3 * k + 1)).alias("r1"), F.get(drawn, F.lit(3 * k + 2)).alias("r2"))
+
+
+def with_typo(rows: DataFrame, word: str, seed: Column) -> DataFrame:
+    """rows with _draws and `_t`, struct<typo, type>: the first of three tries that changes the word; null if none does,
+    or if the word is shorter than three letters or holds others."""
+    w = F.col(word)
+    out = rows.withColumn("_draws", draws(seed))
+    out = out.withColumn("_tries", F.array(*(_one_try(w, F.col("_draws"), k) for k in range(3))))
+    done = F.transform("_tries", lambda t: F.struct(apply_rule(t["type"], w, t["r1"], t["r2"]).alias("typo"), t["type"].alias("type")))
+    out = out.withColumn("_done", done).withColumn("_t", F.get(F.filter("_done", lambda t: t["typo"] != w), F.lit(0)))
+    return out.withColumn("_t", F.when((F.length(w) >= 3) & w.rlike(WORD), F.col("_t"))).drop("_tries", "_done")
 
 
 def generate_typos(sentences: DataFrame, key: str = "item_id", seed: int = 42) -> DataFrame:
@@ -90,20 +103,20 @@ def generate_typos(sentences: DataFrame, key: str = "item_id", seed: int = 42) -
     """
     strip = lambda w: F.regexp_replace(w, r"[^A-Za-zÀ-ÿ'\-]", "")
     out = sentences.where("text is not null").select(F.col(key), F.col("text").alias("correct"), F.split("text", r"\s+", -1).alias("_w"))
-    places = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.length(strip(F.get(F.col("_w"), i))) >= 4)
-    out = out.withColumn("_p", places).where(F.size("_p") > 0)
-    out = out.withColumn("_s", F.xxhash64(F.lit(seed), F.col(key), F.col("correct")).bitwiseAND(MASK))
-    out = out.withColumn("_i", F.get("_p", _below(draw(F.col("_s"), 1000), F.size("_p"))))
+    out = out.withColumn("_p", F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.length(strip(F.get(F.col("_w"), i))) >= 4)).where(F.size("_p") > 0)
+    number = F.xxhash64(F.lit(seed), F.col(key), F.col("correct")).bitwiseAND(MASK)
+    out = out.withColumn("_s", number).withColumn("_r", draw(F.col("_s"), 1000)).withColumn("_i", F.get("_p", _below(F.col("_r"), F.size("_p"))))
     out = out.withColumn("_raw", F.get("_w", F.col("_i"))).withColumn("_word", strip(F.col("_raw")))
-    out = out.withColumn("_t", typo("_word", F.col("_s"))).where("_t is not null")
+    out = with_typo(out, "_word", F.col("_s")).where("_t is not null")
     first = F.substr(F.col("_word"), F.lit(1), F.lit(1))
     cased = F.when((first == F.upper(first)) & (F.lower(first) != first), capitalized(F.col("_t.typo"))).otherwise(F.col("_t.typo"))
     out = out.withColumn("_typo", cased).where("_typo != _word")
     marks = lambda pattern: F.regexp_extract(F.col("_raw"), pattern, 1)
     spoiled = F.concat(marks(r"^([^A-Za-zÀ-ÿ'\-]*)"), F.col("_typo"), marks(r"([^A-Za-zÀ-ÿ'\-]*)$"))
-    text = F.array_join(F.transform("_w", lambda w, i: F.when(i == F.col("_i"), spoiled).otherwise(w)), " ")
+    out = out.withColumn("_spoiled", spoiled)
+    text = F.array_join(F.transform("_w", lambda w, i: F.when(i == F.col("_i"), F.col("_spoiled")).otherwise(w)), " ")
     edit = F.struct(F.col("_word").alias("word"), F.col("_typo").alias("typo"), F.col("_t.type").alias("type"), F.col("_i").alias("position"))
     return out.select(key, "correct", text.alias("erroneous"), F.array(edit).alias("edits"))
 
 
-__all__ = ["ACCENTED", "NEIGHBOURS", "RULES", "apply_rule", "draw", "generate_typos", "typo"]
+__all__ = ["ACCENTED", "NEIGHBOURS", "RULES", "apply_rule", "draw", "draws", "generate_typos", "with_typo"]
