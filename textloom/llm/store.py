@@ -36,5 +36,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size, from the sizes of its files; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of df's size, from the sizes of its files; no job runs. 0 where it has none (it then says
+    some exabytes)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else 0

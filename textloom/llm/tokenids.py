@@ -44,6 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a control string in a text is ordinary text
         self.model = self.tokenizer.model
         self.most = most
         self._forget()
