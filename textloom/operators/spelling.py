@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import edits, text
+from ..functions.planning import kept_apart
 
 #: Words this frequent in the corpus count as known where no dictionary is given.
 KNOWN = 5
@@ -60,7 +61,7 @@ def known_words(lexicon: DataFrame, least: int = KNOWN) -> DataFrame:
 def checked_words(docs: DataFrame, letters: str = text.LETTERS) -> DataFrame:
     """doc_id, word: tokens worth a look-up, as typed. The tokens are a column of their own first: each is judged by the
     one before it, which must not be found again for each of them."""
-    found = docs.select("doc_id", text.words("text", letters).alias("_w"))
+    found = docs.select("doc_id", kept_apart(text.words("text", letters)).alias("_w"))
     return found.select("doc_id", F.explode(text.checkable("_w")).alias("word"))
 
 

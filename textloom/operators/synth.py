@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.edits import ALPHABET
+from ..functions.planning import kept_apart
 from ..functions.text import ACCENTED, capitalized, strip_accents
 
 # Fixed values.
@@ -81,11 +82,6 @@ def draws(seed: Column) -> Column:
     return F.array(*(draw(seed, n + 1) for n in range(DRAWS)))
 
 
-def _kept_apart(x: Column) -> Column:
-    """x, as something that Catalyst may not copy into the filters and projections above it."""
-    return F.when(F.monotonically_increasing_id() >= 0, x)
-
-
 def _one_try(word: Column, drawn: Column, k: int) -> Column:
     rule = F.element_at(F.array(*(F.lit(x) for x in RULES)), _below(F.get(drawn, F.lit(3 * k)), F.lit(len(RULES))) + 1)
     return F.struct(rule.alias("type"), F.get(drawn, F.lit(3 * k + 1)).alias("r1"), F.get(drawn, F.lit(3 * k + 2)).alias("r2"))
@@ -95,10 +91,10 @@ def with_typo(rows: DataFrame, word: str, seed: Column) -> DataFrame:
     """rows with _draws and `_t`, struct<typo, type>: the first of three tries that changes the word; null if none does,
     or if the word is shorter than three letters or holds others."""
     w = F.col(word)
-    out = rows.withColumn("_draws", _kept_apart(draws(seed)))
+    out = rows.withColumn("_draws", kept_apart(draws(seed)))
     out = out.withColumn("_tries", F.array(*(_one_try(w, F.col("_draws"), k) for k in range(3))))
     done = F.transform("_tries", lambda t: F.struct(apply_rule(t["type"], w, t["r1"], t["r2"]).alias("typo"), t["type"].alias("type")))
-    out = out.withColumn("_done", _kept_apart(done)).withColumn("_t", F.get(F.filter("_done", lambda t: t["typo"] != w), F.lit(0)))
+    out = out.withColumn("_done", kept_apart(done)).withColumn("_t", F.get(F.filter("_done", lambda t: t["typo"] != w), F.lit(0)))
     return out.withColumn("_t", F.when((F.length(w) >= 3) & w.rlike(WORD), F.col("_t"))).drop("_tries", "_done")
 
 
