@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.planning import kept_apart
+
 #: Characters that separate words, as a class of regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -80,7 +82,7 @@ def measure(docs: DataFrame) -> DataFrame:
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`measure(docs)` and fail_bits (long): bit r.bit is set where the document fails rule r."""
     bits = sum((F.expr(f"case when {r.fails} then {1 << r.bit}L else 0L end") for r in rules), F.lit(0).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs).withColumn("fail_bits", kept_apart(bits))
 
 
 def apply_policy(book: DataFrame, policy: str = "v1") -> DataFrame:
