@@ -189,7 +189,7 @@ def test_analysis_with_plugs(spark):
 
 
 def test_editing(spark):
-    events = [(1, 0, "a"), (1, 0.3, "b"), (1, 2, "c"), (2, 0, "x")]
+    events = [(1, 0.0, "a"), (1, 0.3, "b"), (1, 2.0, "c"), (2, 0.0, "x")]
     df = spark.createDataFrame(events, "doc_id long, t double, content string").select("doc_id", F.timestamp_millis((F.col("t") * 1000).cast("long")).alias("ts"), "content")
     want = {(1, "b", 2), (1, "c", 1), (2, "x", 1)}
     assert {(r["doc_id"], r["content"], r["edits"]) for r in editing.autosaves(df).collect()} == want
