@@ -4,15 +4,15 @@ Every step is exact whatever the data; what follows only decides how much work i
 
 1. *Order.* All shingles are put in one global order: by a coarse document frequency, then by hash. The frequencies
    are counted over all documents: each task sends its distinct shingle hashes, cut into hash ranges and
-   compressed, and each range yields one slice of a table of `table_bits` one-byte levels (log2 of the largest
+   compressed, and each range yields one slice of a table of `table_bits` one-byte levels (8 log2 of the largest
    frequency in a cell; 0: no shingle of that cell is in two documents). Its size is a parameter, not the data's.
 2. *Prefixes.* A link needs an overlap of t(n) = ceil(threshold * n) for either size n, so two linked sets share at
    least min(`common`, t) of the first n - t + `common` shingles in that order. Only those are dealt out, and of
    those only the ones that can occur in another document.
 3. *Groups.* Documents with equal sets are one class; classes with equal size and equal prefix are one group. Groups
-   with a shared prefix shingle are paired; pairs are filtered by size, by how many of their shingles can be in two
-   documents at all, and by the number that their prefixes share; then they are expanded to their classes and
-   verified on full sets.
+   are paired by a shingle that stands in both prefixes as early as the pair's two sizes and the overlap that they
+   need demand, counted with the shingles that no other document can hold; then they are expanded to their classes
+   and verified on full sets.
 4. *Large groups of copies.* Only components are wanted, so no group's pairs are listed while they can be avoided.
    First each class is verified against one pivot (the group's, or that of the prefix shingles it shares most):
    a number of pairs that grows with the rows. The links give components. Then the pairs whose ends are still in
@@ -92,7 +92,7 @@ def frequency_levels(docs: DataFrame, k: int, table_bits: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
         counts = np.add.reduceat(counts, first)
         values = values[first][counts >= 2]
-        levels = np.log2(counts[counts >= 2]).astype(np.uint8) + np.uint8(0)
+        levels = (8 * np.log2(counts[counts >= 2])).astype(np.uint8)
         slice_ = np.zeros(1 << (table_bits - range_bits), np.uint8)
         np.maximum.at(slice_, ((values >> U64(COUNTED_BITS - table_bits)) & U64(len(slice_) - 1)).astype(np.int64), levels)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([pa.compress(slice_.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
@@ -144,7 +144,7 @@ def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int,
 
 
 def _explode_tokens(rows: DataFrame) -> DataFrame:
-    """gid, n, v (shareable), tokens -> token, gid, n, v."""
+    """gid, n, v (shareable), tokens -> token, gid, n, v, i (the token's place among the shareable ones)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +153,10 @@ def _explode_tokens(rows: DataFrame) -> DataFrame:
                 blobs = part.column("tokens").to_pylist()
                 sizes = np.array([len(b) // 8 for b in blobs], np.int64)
                 at = pa.array(np.repeat(np.arange(len(blobs)), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), part.column("gid").take(at), part.column("n").take(at), part.column("v").take(at)], names=["token", "gid", "n", "v"])
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), part.column("gid").take(at), part.column("n").take(at), part.column("v").take(at), pa.array(place)], names=["token", "gid", "n", "v", "i"])
 
-    return rows.select("gid", "n", "v", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint, v bigint")
+    return rows.select("gid", "n", "v", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint, v bigint, i bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
@@ -214,7 +215,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     # The head of a shingle's list is the document with the least of its own: where copies of one text differ, that text.
     own = F.struct((F.col("n") - F.col("v")).alias("own"), "gid")
     shared = listed.groupBy("token").agg(F.count("*").alias("f"), F.min(own).alias("head")).where("f > 1").select("token", F.col("head.gid").alias("head"))
-    postings = settle(listed.join(shared, "token").select("token", "gid", "n", "v", "head"), "postings")
+    postings = settle(listed.join(shared, "token").select("token", "gid", "n", "v", "i", "head"), "postings")
 
     # Each class against one pivot.
     inside = classes.join(heads.where("members > 1").select(F.col("gid").alias("prefix"), "pivot", "grep"), "prefix").where("node != pivot")
@@ -222,7 +223,8 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     stars = postings.where("gid != head").groupBy("gid", "head").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "head")).alias("best")).select("gid", F.col("best.head").alias("head"))
     one, other = heads.select(F.col("gid").alias("head"), F.col("pivot").alias("a"), F.col("grep").alias("a_id"), F.col("n").alias("n1"), F.col("v").alias("v1")), heads.select("gid", F.col("pivot").alias("b"), F.col("grep").alias("b_id"), F.col("n").alias("n2"), F.col("v").alias("v2"))
     # What two sets share is at most what either can share.
-    fits = f"{100 + percent} * least(v1, v2) >= {percent} * (n1 + n2)"
+    least_shared = f"(({percent} * (n1 + n2) + {99 + percent}) div {100 + percent})"
+    fits = f"least(v1, v2) >= {least_shared}"
     across = stars.join(one, "head").join(other, "gid").where(fits).select("a", "a_id", "b", "b_id")
     links = settle(verified(settle(inside.union(across), "stars"), docs, k, percent, block), "links")
 
@@ -233,15 +235,17 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     # What is left: pairs of groups whose ends are in different components.
     now = settle(labelled(links), "components")
     state = now.groupBy("prefix").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed")).withColumnRenamed("prefix", "gid")
-    lists = postings.select("token", "gid", "n", "v").join(state, "gid")
+    lists = postings.select("token", "gid", "n", "v", "i").join(state, "gid")
     counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"))
     lists_of = counts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.max("mixed").alias("any")).where("comps > 1 or any").select("token", F.col("major.comp").alias("major"))
     lists = settle(lists.join(lists_of, "token"), "lists")
-    left = lists.where("comp != major or mixed").selectExpr("token", "gid as g1", "n as n1", "v as v1", "comp as c1", "mixed as m1")
-    right = lists.selectExpr("token", "gid as g2", "n as n2", "v as v2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
-    met = left.join(right, "token").where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {fits}")
-    need = F.least(F.lit(common), F.expr(f"cast(ceil({percent} * greatest(n1, n2) / 100.0D) as int)"))
-    met = met.groupBy(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), need.alias("need")).agg(F.count("*").alias("c")).where("c >= need").select("g1", "g2")
+    left = lists.where("comp != major or mixed").selectExpr("token", "gid as g1", "n as n1", "v as v1", "i as i1", "comp as c1", "mixed as m1")
+    right = lists.selectExpr("token", "gid as g2", "n as n2", "v as v2", "i as i2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
+    # The first shingle that two linked sets share stands among the first n - least_shared + 1 of each; the n - v
+    # that no other document holds come before all others.
+    early = f"i1 <= v1 - {least_shared} and i2 <= v2 - {least_shared}"
+    met = left.join(right, "token").where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {early}")
+    met = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
     met = met.union(state.where("mixed").selectExpr("gid as g1", "gid as g2"))
     one, other = (now.selectExpr(f"prefix as g{i}", f"node as {x}", f"rep as {x}_id", f"comp as {x}_comp") for i, x in ((1, "a"), (2, "b")))
     rest = met.join(one, "g1").join(other, "g2").where("a_comp != b_comp and (g1 != g2 or a < b)").select("a", "a_id", "b", "b_id").distinct()
