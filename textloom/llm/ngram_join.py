@@ -159,10 +159,20 @@ def _explode_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("gid", "n", "v", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint, v bigint, i bigint")
 
 
+def among(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows of docs whose doc_id may be in ids, and all whose doc_id is: those whose hash is marked in 2^bits bits, which
+    are broadcast whatever the number of ids. More ids than that cost rows that a join drops later."""
+    at = f"pmod(xxhash64(doc_id), {1 << bits}L)"
+    marks = ids.groupBy(F.expr(f"{at} div 32768").alias("bucket")).agg(F.expr(f"bitmap_construct_agg({at} % 32768)").alias("marks"))
+    byte = f"cast(conv(hex(substring(marks, cast({at} % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = f"{at} div 32768 = bucket and getbit({byte}, cast({at} % 8 as int)) = 1"
+    return docs.join(F.broadcast(marks), F.expr(marked), "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Of distinct pairs (a, a_id, b, b_id) of nodes and a document of each, those (a, b) that link."""
     ids = pairs.selectExpr("a as node", "a_id as doc_id").union(pairs.selectExpr("b as node", "b_id as doc_id")).distinct()
-    texts = settle(docs.select("doc_id", "text").join(ids, "doc_id").select("node", "text"), "suspects")
+    texts = settle(among(docs.select("doc_id", "text"), ids).join(ids, "doc_id").select("node", "text"), "suspects")
     blocks = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {block}) as int)").alias("blocks"))
     dealt = pairs.select("a", "b").join(blocks, "a").withColumn("salt", F.expr("cast(pmod(xxhash64(b), blocks) as int)")).drop("blocks")
     home = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("home"), F.col("salt").alias("part"), F.col("text").alias("home_text"))
