@@ -100,6 +100,15 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_no_short_template_is_missed(spark):
+    """Templates of one shingle that open a text, between words that differ from text to text."""
+    lines = tuple((f"line-{i}", f"u{i} v{i} w{i} x{i} y{i}") for i in range(40))
+    docs = [f"{t} a{n[5:]}x{j} b{n[5:]}x{j} c{n[5:]}x{j} d{n[5:]}x{j}" for n, t in lines for j in range(10)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.scan(df, lines).where("containment = 1").collect())
+    assert got == [(i, lines[i // 10][0]) for i in range(len(docs))]
+
+
 def padding(histogram, edges):
     return sum(n * (min(e for e in edges if e >= x) - x) for x, n in histogram.items())
 

@@ -1,12 +1,13 @@
 """License scans, in DataFrame functions alone.
 
-Every position of a text opens a window of `WINDOW_WORDS` words, so a window overlaps the next in all but one word. A
-window holds four 5-word shingles; each of `BANDS` hash functions keeps the least hash of its shingles, one band of one
-row each. Templates are cut into windows of 1 to 4 shingles in the same way, and a text's window retrieves the templates
-with which it shares a band. Where a text holds one shingle of a template, four windows hold it, each with a quarter
-of the window's shingles at least, so the chance that all bands of all four miss it is 0.75 ** 40, or 1e-5; for a whole
-template it is smaller still. Retrieved templates are verified: the share of a template's distinct shingles that the
-text holds must be `percent`/100 or more.
+Every position of a text opens windows of up to `WINDOW_WORDS` words, so a window overlaps the next in all but one word.
+The widest holds four 5-word shingles; each of `BANDS` hash functions keeps the least hash of its shingles, one band of
+one row each. Templates are cut into windows of 1 to 4 shingles in the same way, and a text's window retrieves the
+templates with which it shares a band. The bands of the widest windows alone would miss: all ten miss a template of one
+shingle with a chance of 0.6 ** 10 (0.6 %) within a text and 0.75 ** 10 (5.6 %) at its start, as the windows that hold the
+shingle are not independent. So each position is also keyed by its window of one shingle, whose least hash is that of the
+shingle itself, so that one band says all: a text that holds any shingle of a template retrieves it for certain. Retrieved
+templates are verified: the share of a template's distinct shingles that the text holds must be `percent`/100 or more.
 
 Windows are rows of the word hashes next to each other, made by a generator from shifted arrays, so hashing and the
 look-up of the templates' few keys are compiled code; only hits are ever shuffled, never texts.
@@ -60,6 +61,11 @@ def _bands() -> list[Column]:
     return [F.expr(f"xxhash64({b}, least({', '.join(f'case when s{j} is not null then xxhash64(s{j}, {b}) end' for j in range(SHINGLES))}))") for b in range(BANDS)]
 
 
+def _narrow_band() -> Column:
+    """The first band of the window of one shingle."""
+    return F.expr("case when s0 is not null then xxhash64(0, xxhash64(s0, 0)) end")
+
+
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     rows = spark.createDataFrame(list(templates), "license string, text string")
     return rows.select("license", word_hashes(F.col("text")).alias("_w"))
@@ -88,7 +94,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     needed = known.where("kind = 1").groupBy("license").agg(F.count("*").alias("n_shingles"))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), word_hashes(F.col("text")).alias("_w"))
-    asked = _windows(rows, ["doc_id", "row"]).select("doc_id", "row", "pos", F.explode(F.array("s0", *_bands())).alias("x"))
+    asked = _windows(rows, ["doc_id", "row"]).select("doc_id", "row", "pos", F.explode(F.array("s0", _narrow_band(), *_bands())).alias("x"))
     # The join is with a broadcast table and lets through the few hits; only those are shuffled.
     hits = asked.join(F.broadcast(known), "x").groupBy("doc_id", "row", "license", "kind", "x").agg(F.min("pos").alias("pos"))
     found = hits.groupBy("doc_id", "row", "license").agg(F.sum("kind").alias("n_shared"), F.min("kind").alias("kind"), F.min(F.when(F.col("kind") == 1, F.col("pos"))).alias("first_word"))
