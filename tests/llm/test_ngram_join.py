@@ -94,6 +94,21 @@ def test_nulls_ties_and_short_texts(spark):
     assert out == [(-1, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 2, 6), (7, 2, 6), (7, 2, 6), (8, 1, 8)]
 
 
+def test_links_equal_brute_force(spark):
+    rows = near_copies(4, groups=4, size=25)
+    rows += [(i + 1000, t) for i, t in rows[:10]] + [(2000, None), (2001, "a b")]
+    sets = {i: frozenset(tuple(words(t)[j : j + 4]) for j in range(len(words(t)) - 3)) or frozenset([tuple(words(t))]) for i, t in rows if words(t)}
+    least = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    want = {tuple(sorted((least[s], least[t]))) for s in least for t in least if s != t and 100 * len(s & t) >= 60 * len(s | t)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [(r["a"], r["b"]) for r in ngram_join.class_links(df, 4, 60, table_bits=12, block=8, side=7).collect()]
+    assert len(found) == len(set(found)) > 100 and set(found) == want
+    out = {r["doc_id"]: r for r in ngram_join.ngram_links(df, 4, 60, table_bits=12, block=8, side=7).collect()}
+    assert {i: r["n_links"] for i, r in out.items()} == {i: sum(least[sets[i]] in x for x in want) if i in sets else 0 for i, _ in rows}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == brute(rows, 4, 60)
+    assert ngram_join.ngram_links(df.limit(0), table_bits=10).collect() == []
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], "doc_id bigint, text string"), table_bits=10).collect() == []
 

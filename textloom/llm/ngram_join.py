@@ -13,13 +13,15 @@ Every step is exact whatever the data; what follows only decides how much work i
    are paired by a shingle that stands in both prefixes as early as the pair's two sizes and the overlap that they
    need demand, counted with the shingles that no other document can hold; then they are expanded to their classes
    and verified on full sets.
-4. *Large groups of copies.* Only components are wanted, so no group's pairs are listed while they can be avoided.
-   First each class is verified against one pivot (the group's, or that of the prefix shingles it shares most):
-   a number of pairs that grows with the rows. The links give components. Then the pairs whose ends are still in
+4. *Large groups of copies.* For components no group's pairs are listed while they can be avoided. First each class is
+   verified against one pivot (the group's, or that of the prefix shingles it shares most): a number of pairs that
+   grows with the rows. The links give components. Then the pairs whose ends are still in
    different components are listed, against the fewer side of each shingle's list, and verified: nothing is lost,
    since a pair inside a component cannot change it.
 5. *Verification* sends the text of each document to the pivot's blocks (at most `block` partners for each), so no
    key, however frequent, is gathered in one task.
+6. *Links.* All links lie inside components, whose classes are compared in blocks by set size; see `_links`. The work
+   grows with the square of a component's classes, as the links do.
 """
 
 from __future__ import annotations
@@ -200,20 +202,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
     return home.groupBy("home", "part").cogroup(away.groupBy("a", "salt")).applyInArrow(verify, "a binary, b binary")
 
 
-def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a document's set holds its distinct
-    k-word shingles, or its whole word sequence if that is shorter. Documents link at a Jaccard similarity of
-    percent/100 or more. component_id: the least doc_id reachable by links, class_id: the least with an equal set.
-
-    Null, empty or wordless text: n_shingles 0, linked with nothing (component_id and class_id are its own doc_id).
-    Null doc_id: n_shingles is counted, but the row has no identity to link by, so both ids are null. Repeated
-    doc_id: each row is judged by its own text; its component is that of its text. Other columns are ignored.
-    """
-    if not 0 < percent <= 100 or common < 1:
-        raise ValueError("percent must be in 1..100, common at least 1")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of `document_prefixes`, and the classes: node, n, rep, comp (the class's component)."""
     levels = frequency_levels(docs, k, table_bits)
     rows = settle(document_prefixes(docs, levels, k, percent, common), "prefixes")
     classes = settle(rows.where("node is not null and doc_id is not null").groupBy("node", "n", "shareable", "prefix").agg(F.min("doc_id").alias("rep")), "classes")
@@ -264,7 +254,131 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
         ends = now.select("node", "comp").where("node != comp").selectExpr("node as a", "comp as b")
         links = settle(ends.union(verified(rest, docs, k, percent, block)), "links")
         now = labelled(links)
+    return rows, now
+
+
+def _plain(docs: DataFrame, percent: int, common: int) -> DataFrame:
+    if not 0 < percent <= 100 or common < 1:
+        raise ValueError("percent must be in 1..100, common at least 1")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _named(rows: DataFrame, now: DataFrame, *more: str) -> DataFrame:
     least = now.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = now.join(least, "comp").select(F.col("node").alias("at"), "component_id", F.col("rep").alias("class_id"))
+    named = now.join(least, "comp").select(F.col("node").alias("at"), "component_id", F.col("rep").alias("class_id"), *more)
     own = rows.join(named, (F.col("node") == F.col("at")) & F.col("doc_id").isNotNull(), "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in more))
+
+
+def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a document's set holds its distinct
+    k-word shingles, or its whole word sequence if that is shorter. Documents link at a Jaccard similarity of
+    percent/100 or more. component_id: the least doc_id reachable by links, class_id: the least with an equal set.
+
+    Null, empty or wordless text: n_shingles 0, linked with nothing (component_id and class_id are its own doc_id).
+    Null doc_id: n_shingles is counted, but the row has no identity to link by, so both ids are null. Repeated
+    doc_id: each row is judged by its own text; its component is that of its text. Other columns are ignored.
+    """
+    rows, now = _classified(_plain(docs, percent, common), k, percent, common, table_bits, block)
+    return _named(rows, now)
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of left shares with each of right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and columns of the values that both sides hold, by column."""
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(values, flat)
+        held = values[np.minimum(at, len(values) - 1)] == flat
+        order = np.argsort(at[held], kind="stable")
+        return owner[held][order], at[held][order]
+
+    if not len(values):
+        return out
+    (l_own, l_at), (r_own, r_at) = places(left), places(right)
+    for i in range(0, len(values), 4096):
+        sides = []
+        for own, at, n in ((l_own, l_at, len(left)), (r_own, r_at, len(right))):
+            x, y = np.searchsorted(at, [i, i + 4096])
+            side = np.zeros((n, 4096), np.float32)
+            side[own[x:y], at[x:y] - i] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _links(docs: DataFrame, now: DataFrame, k: int, percent: int, side: int, counted: bool) -> DataFrame:
+    """All links between classes: node and n_links where `counted` (a row for each block that has links), else a and b.
+
+    Links stay inside components, so each component's classes are compared with each other: they are cut by set size into
+    cells, so that linked sizes are in one cell or in two next to each other, and a cell by hash into parts of about `side`
+    classes and a million shingles. Each pair of parts is one unit of work; a text is sent once to each unit of its part.
+    """
+    schema = "node binary, n_links bigint" if counted else "a bigint, b bigint"
+    if percent == 100:  # different sets cannot link
+        return docs.sparkSession.createDataFrame([], schema)
+    several = now.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
+    cells = now.join(several, "comp").select("node", "rep", "n", "comp", F.expr(f"cast(floor(ln(n) / (1.0001D * ln(100D / {percent}))) as int)").alias("cell"))
+    parts = settle(cells.groupBy("comp", "cell").agg(F.expr(f"cast(ceil(greatest(count(*) / {side}, sum(n) / 1000000)) as int)").alias("parts")), "cells")
+    near = parts.join(parts.selectExpr("comp", "cell - 1 as cell", "parts as above"), ["comp", "cell"], "left").join(parts.selectExpr("comp", "cell + 1 as cell", "parts as below"), ["comp", "cell"], "left")
+    ids = cells.select("node", F.col("rep").alias("doc_id"), "comp", "cell").join(near, ["comp", "cell"])
+    texts = settle(among(docs, ids).join(ids, "doc_id").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")), "linkable")
+    same, next_ = "sequence(part, parts - 1)", "sequence(0, above - 1)"
+    left = texts.selectExpr("comp", "cell", "part", f"explode({same}) as other", "false as up", "node", "doc_id", "text").union(
+        texts.where("above is not null").selectExpr("comp", "cell", "part", f"explode({next_}) as other", "true as up", "node", "doc_id", "text"))
+    right = texts.where("part > 0").selectExpr("comp", "cell", "explode(sequence(0, part - 1)) as part", "part as other", "false as up", "node", "doc_id", "text").union(
+        texts.where("below is not null").selectExpr("comp", "cell - 1 as cell", "explode(sequence(0, below - 1)) as part", "part as other", "true as up", "node", "doc_id", "text"))
+
+    def sets_of(table: pa.Table) -> tuple[list[bytes], list[int], list[np.ndarray]]:
+        """Each node once; of rows that repeat a doc_id, only those with the node's own set count."""
+        found = {}
+        for batch in table.combine_chunks().to_batches():
+            for part, raw, at in slices(batch, "text"):
+                for node, doc_id, s in zip(part.column("node").to_pylist(), part.column("doc_id").to_pylist(), shingle_sets(raw, at, k)):
+                    if node not in found and _digest(s) == node:
+                        found[node] = doc_id, s
+        return list(found), [x for x, _ in found.values()], [s for _, s in found.values()]
+
+    def compare(key: tuple[pa.Scalar, ...], one: pa.Table, two: pa.Table) -> pa.Table:
+        own = not key[4].as_py() and key[2].as_py() == key[3].as_py()
+        nodes, ids, sets = sets_of(one)
+        nodes2, ids2, sets2 = (nodes, ids, sets) if own else sets_of(two)
+        linked = np.zeros((len(sets), len(sets2)), bool)
+        if sets and sets2:
+            both = _shared_counts(sets, sets2)
+            n, n2 = (np.array([len(s) for s in x], np.int64) for x in (sets, sets2))
+            linked = 100 * both >= percent * (n[:, None] + n2 - both)
+        if own:
+            np.fill_diagonal(linked, False)
+        if counted:
+            counts = linked.sum(1) if own else np.concatenate((linked.sum(1), linked.sum(0)))
+            names = nodes if own else nodes + nodes2
+            some = np.flatnonzero(counts)
+            return pa.table({"node": pa.array([names[i] for i in some], pa.binary()), "n_links": pa.array(counts[some], pa.int64())})
+        i, j = np.nonzero(np.triu(linked) if own else linked)
+        a, b = np.array(ids, np.int64)[i], np.array(ids2, np.int64)[j]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    key = ["comp", "cell", "part", "other", "up"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, schema)
+
+
+def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128, side: int = 256) -> DataFrame:
+    """`ngram_components` and n_links: to how many other classes (different sets) the row's class links directly. Copies
+    share one class, so they count once and add no link; 0 where there is no set or no doc_id."""
+    docs = _plain(docs, percent, common)
+    rows, now = _classified(docs, k, percent, common, table_bits, block)
+    found = _links(docs, now, k, percent, side, True).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return _named(rows, now.join(found, "node", "left"), "n_links")
+
+
+def class_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128, side: int = 256) -> DataFrame:
+    """(a, b) for each link between different classes, by their class_id, a <= b (equal only where a repeated doc_id
+    names two classes); membership is `ngram_components`'s."""
+    docs = _plain(docs, percent, common)
+    return _links(docs, _classified(docs, k, percent, common, table_bits, block)[1], k, percent, side, False)

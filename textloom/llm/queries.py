@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_join.ngram_links(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
