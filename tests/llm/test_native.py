@@ -59,6 +59,26 @@ def test_aliases_take_decisions(spark):
     assert urlfilter.judge(df.limit(0)).collect() == []
 
 
+def test_relative_and_repeated_aliases(spark):
+    from urllib.parse import urljoin
+
+    link = '<link rel="canonical" href="{}">'.format
+    blocked = "http://x.net/es/1"
+    pages = [(1, "http://q.org/1", link("//x.net/es/1")), (2, "http://x.net/d/2", link("/es/1")), (3, "http://x.net/d/e/3?q#f", link("../../es/./1")), (4, "http://q.org/4", link("http://q.org/four") + link(blocked)),
+             (5, "http://x.net/5", '<meta http-equiv=refresh content="0; url=es/1">'), (6, "http://q.org/6", link("http://x.net/es/2?a=1&amp;b=2")), (7, "http://x.net/es/2?a=1&b=2", ""), (8, "http://q.org/8", link("http:&#47;&#x2F;x.net/es/1")),
+             (9, "http://q.org/9", link("mailto:a")), (10, "http://x.net/10", link("?x")), (11, "http://q.org/11", link("#top"))]
+    out = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [i for i in out if out[i] == "allow"] == [9, 10, 11]
+    bases = ["http://h.org", "http://h.org/", "http://h.org/a/b?q=1", "https://h.org/a/b/"]
+    targets = ["x", "./x", "../x", "../../../x", "..", ".", "x/..", "/x/../y/.", "//k.org/z", "?n", "x?n/../m", "/", "http://k.org/q"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    got = {(r["b"], r["t"]): r["u"] for r in df.withColumn("u", urlfilter.resolved(df.b, df.t)).collect()}
+    assert got == {(b, t): urljoin(b, t) for b in bases for t in targets}
+    # Empty segments stay, as in RFC 3986 (urljoin drops them).
+    one = spark.createDataFrame([("http://h.org/c/d", "a//b")], "b string, t string")
+    assert one.select(urlfilter.resolved(one.b, one.t)).first()[0] == "http://h.org/c/a//b"
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "␛1", "␛", "<s>", "[/INST][/INST]", "", None, "plain", "<s</s>>", "␛0␛2", "a\nb", "x" * 50000]
     rows = [(c, t, random.Random(c * 31 + t).choice(["user", "assistant", None, "[/INST]", "system"]), random.Random(c + t * 7).choice(nasty)) for c in range(80) for t in range(c % 6)]

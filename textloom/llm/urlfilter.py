@@ -68,16 +68,70 @@ def verdict_of(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.when(rule.isNotNull(), F.when(rule.isin(allowed), F.lit("allow")).otherwise(F.lit("block")))
 
 
+#: Named characters in targets; the ampersand is decoded last.
+_ENTITIES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&"))
+
+
+def decoded(x: Column) -> Column:
+    """Character references by number (decimal and hexadecimal, up to 10FFFF) and the names of `_ENTITIES`, each once."""
+    pieces = F.regexp_extract_all(x, F.lit(r"(?is)(&#x0*[0-9a-f]{1,6};|&#0*[0-9]{1,7};|&(?:quot|apos|lt|gt|nbsp|amp);|&|[^&]+)"), F.lit(1))
+
+    def one(p: Column) -> Column:
+        code = F.when(p.rlike("(?i)^&#x"), F.conv(F.regexp_extract(p, r"(?i)^&#x0*([0-9a-f]+);", 1), 16, 10)).when(p.rlike("^&#"), F.regexp_extract(p, r"^&#0*([0-9]+);", 1)).cast("int")
+        out = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, c in _ENTITIES:
+            out = out.when(F.lower(p) == f"&{name};", F.lit(c))
+        return out.otherwise(p)
+
+    return F.when(F.instr(x, F.lit("&")) > 0, F.array_join(F.transform(pieces, one), "")).otherwise(x)
+
+
+def without_dots(path: Column) -> Column:
+    """path (from its first slash) without the segments . and .. , as RFC 3986 5.2.4 has it."""
+    parts = F.slice(F.split(path, "/"), 2, 1_000_000_000)
+    last = F.element_at(parts, -1)
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))))
+    joined = F.concat(F.lit("/"), F.array_join(up, "/"))
+    return F.when(last.isin(".", "..") & (F.size(up) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute URL that target names on the page base (RFC 3986, 5.2); null where base or target is no such URL."""
+    scheme = F.substring_index(base, "://", 1)
+    host = F.regexp_extract(base, r"(?s)^[^:]*://([^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^[^:]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    root = F.concat(scheme, F.lit("://"), host)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    directory = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    return (F.when(~base.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target))
+            .when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+            .when(F.startswith(target, F.lit("/")), F.concat(root, without_dots(own), rest))
+            .when(own != "", F.concat(root, without_dots(F.concat(directory, own)), rest))
+            .when(F.startswith(target, F.lit("?")), F.concat(root, path, rest))
+            .otherwise(F.concat(root, path, query)))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): each page's url and the absolute URL that its html names as canonical or that it refreshes to, both
-    without fragment. Only the first such tag of each kind counts, quoted or not."""
+    """(a, b): each page's url and every URL that its html names as canonical or that it refreshes to, quoted or not,
+    entities decoded, resolved against the page's url, both without fragment."""
     html, url = F.col("html"), F.col("url")
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
     # A cheap test first: most pages have neither tag.
     some = pages.where(html.rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh"))
-    ends = some.select(node(url).alias("a"), F.explode(F.array(canonical, refresh)).alias("b"))
-    return ends.where("b like '%://%'").select("a", node(F.col("b")).alias("b")).where("a is not null and a != b")
+    found = some.select("url", F.explode(tags).alias("tag"))
+    href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+
+    def step(rows: DataFrame, x: Column) -> DataFrame:
+        """A generator: the next step's many uses of x do not each repeat it, nor do filters pushed down."""
+        return rows.select("url", F.explode(F.array(x)).alias("target"))
+
+    named = step(found, F.when(F.col("tag").rlike(r"(?i)^<link"), href).otherwise(refresh)).where("target != ''")
+    whole = step(step(named, decoded(F.col("target"))), resolved(url, F.col("target")))
+    ends = whole.select(node(url).alias("a"), node(F.col("target")).alias("b"))
+    return ends.where("a is not null and b is not null and a != b")
 
 
 def node(url: Column) -> Column:
