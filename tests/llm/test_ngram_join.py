@@ -109,6 +109,28 @@ def test_links_equal_brute_force(spark):
     assert ngram_join.ngram_links(df.limit(0), table_bits=10).collect() == []
 
 
+def test_ranges_are_cut_in_two_steps(spark):
+    df = spark.createDataFrame(near_copies(3, groups=3, size=12), "doc_id bigint, text string")
+    one = ngram_join.frequency_levels(df, 4, 16)
+    two = ngram_join.frequency_levels(df, 4, 16, range_bytes=20, hop=3)
+    assert one.any() and (one == two).all()
+    assert not ngram_join.frequency_levels(df.limit(0), 4, 12).any()
+
+
+def test_long_words_do_not_meet(spark):
+    from test_tokens import thue_morse
+
+    rows = [(1, thue_morse(4096)), (2, thue_morse(4096, True)), (3, thue_morse(4096)[:-1]), (4, thue_morse(4096).upper())]
+    assert result(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 1)}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(1, "a b c d e f", "x", 1), (5, "A b c d e f", "x", 2), (5, "p q r s t u", "x", 3), (7, "p q r s t u", "z", 4), (7, "p q r s t u", "y", 4), (9, "v w x y z", "b", 1), (9, "v w x y z", "a", 1), (None, "a b c d e f", "n", 1), (None, "a b c d e f", "n", 1), (11, None, "c", 1), (11, "", "c", 1), (11, None, "c", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, place int")
+    got = sorted(((r["doc_id"] or 0, r["text"], r["key"], r["place"]) for r in ngram_join.one_of_each(df).collect()), key=str)
+    assert got == sorted([(0, "a b c d e f", "n", 1), (0, "a b c d e f", "n", 1), (1, "a b c d e f", "x", 1), (11, None, "c", 1), (11, "", "c", 1), (5, "p q r s t u", "x", 3), (9, "v w x y z", "a", 1)], key=str)
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], "doc_id bigint, text string"), table_bits=10).collect() == []
 

@@ -10,7 +10,7 @@ import pytest
 from textloom.llm import bytetext, lattice, pieces, repair, tokenids
 from textloom.llm.queries import PIECES, tokenizer_path
 
-TEXTS = [None, "", "a", "The the THE, the.", "don't 'tis we'll 12 3.5!", "é́ ß été, naïve— x", "tabs\tand\nlines\r\n", "日本語 text 😀😀", "a▁b ▁ c", "<|endoftext|> x", "x" * 5000, "  two  spaces  "]
+TEXTS = [None, "", "a", "The the THE, the.", "don't 'tis we'll 12 3.5!", "é́ ß été, naïve— x", "tabs\tand\nlines\r\n", "日本語 text 😀😀", "a▁b ▁ c", "<|endoftext|> x", "hello<|endoftext|>X<|STARTOFTEXT|>, a<|startoftext|>b <|endoftext |> <|", "x" * 5000, "  two  spaces  "]
 
 
 def encoded(texts):
@@ -23,7 +23,6 @@ def test_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rng = random.Random(4)
     texts = TEXTS + ["".join(rng.choice("aB é'.,-!?1 \n") for _ in range(rng.randrange(60))) for _ in range(500)]
     for text, got in zip(texts, encoded(texts)):
@@ -51,14 +50,58 @@ def test_shards_read_back(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as part", "2 as payload")
     out = tokenids.read_documents(tokenids.encode_shards(docs, tokenizer_path("word_bpe_49k.json"), shard_ids=150)).collect()
     out.sort(key=lambda r: r["start"])
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in out] == [d for d, _ in order]
+    both = [i for i, (d, _) in enumerate(order) if d == 3]
+    if out[both[0]]["n_tokens"] != len(encoded([order[both[0]][1]])[0]) + 1:  # rows that repeat a doc_id are ordered by a hash
+        order[both[0]], order[both[1]] = order[both[1]], order[both[0]]
     start = 0
     for r, (_, text), ids in zip(out, order, encoded([t for _, t in order])):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())), text
         start += len(ids) + 1
 
 
+def test_documents_by_random_access(spark):
+    rows = [(i, f"alpha beta {i} gamma " * (i % 50)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shards = tokenids.encode_shards(docs, tokenizer_path("word_bpe_49k.json"), shard_ids=2000).cache()
+    got = {r["doc_id"]: r["token_ids"] for r in tokenids.read_some(shards, [0, 7, 299, 4000]).collect()}
+    assert got == {i: [*ids, 1] for i, ids in zip((0, 7, 299), encoded([rows[i][1] for i in (0, 7, 299)]))}
+
+
+def thue_morse(n, flip=False):
+    out = b"a"
+    while len(out) < n:
+        out += bytes(b ^ 3 for b in out)
+    return (bytes(b ^ 3 for b in out) if flip else out)[:n].decode()
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    one, other = thue_morse(2048), thue_morse(2048, True)
+    raw, at = bytetext.text_bytes(pa.array([one, other]))
+    a, b = bytetext.span_hashes(raw, at[:-1], at[1:])
+    assert one != other and a != b
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in (one, other, "a b, a")]
+    assert encoded([one, other, "a b, a"]) == want
+    monkeypatch.setattr(bytetext, "span_hashes", lambda raw, starts, ends, chunks=None: np.zeros(len(starts), np.uint64))
+    raw, at = bytetext.text_bytes(pa.array([one, other, "a b, a"]))
+    words = tokenids.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    for _ in range(2):
+        ids, before = words.encode(raw, at)
+        assert [ids[before[i] : before[i + 1]].tolist() for i in range(3)] == want
+
+
+def test_rounds_go_on_to_the_end():
+    ids = np.tile(np.arange(64), 500).astype(np.int32)
+    symbols, rules = repair.compress(ids, 100, saving=0)
+    assert len(symbols) <= 500 and (repair.expand(symbols, rules, 100) == ids).all()
+    shard = repair.Shard(repair.write_shard(ids, np.array([len(ids)]), 100))
+    assert (shard.expand == repair.expansion_lengths(shard.rules, 100)).all() and (shard.slice(777, 9001) == ids[777:9001]).all()
+
+
 def test_no_documents_no_shards(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert tokenids.read_documents(tokenids.encode_shards(docs, tokenizer_path("word_bpe_49k.json"))).collect() == []

@@ -15,7 +15,7 @@ U64 = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 #: Texts are worked on in slices of at most so many bytes (or one text).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -25,20 +25,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 5
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _MIXERS = mix64(np.arange(1001, 1017, dtype=U64)) | U64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        x = np.full(max(n, SLICE_BYTES + 1), base, U64)
-        x[0] = 1
-        _powers[base] = np.cumprod(x, dtype=U64)
-    return _powers[base][:n]
+_TAILS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +72,58 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span: a polynomial over random byte values, mixed. folded: A-Z count as a-z."""
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum((_BYTE_FOLDED if folded else _BYTE)[raw] * _power(_BASE, len(raw)), out=sums[1:])
-    inverse = _power(pow(_BASE, -1, 1 << 64), len(raw) + 1)
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * _MIXERS[15])
+def folded(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _FOLD[raw]
+
+
+def span_chunks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all spans as little-endian numbers of eight bytes, each span's last one filled up with zeros, and the
+    number of them before each span (len+1)."""
+    sizes = ends - starts
+    counts = (sizes + 7) >> 3
+    before = np.concatenate(([0], np.cumsum(counts)))
+    owner = np.repeat(np.arange(len(starts)), counts)
+    place = (np.arange(before[-1]) - before[owner]) << 3
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    return eights[starts[owner] + place] & _TAILS[np.minimum(sizes[owner] - place, 8)], before
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunks: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A 64-bit hash of each span: of every eight bytes, mixed with their place in the span, the sum; and of the size.
+    The mixer is not linear, so equal parts in another order or repeated patterns do not cancel out."""
+    values, before = chunks or span_chunks(raw, starts, ends)
+    owner = np.repeat(np.arange(len(starts)), np.diff(before))
+    values = mix64(values + mix64((np.arange(len(values)) - before[owner]).astype(U64) + U64(0x9E3779B97F4A7C15)))
+    sums = np.concatenate(([U64(0)], np.cumsum(values, dtype=U64)))
+    return mix64(sums[before[1:]] - sums[before[:-1]] + (ends - starts).astype(U64) * _MIXERS[15])
+
+
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct spans, one example of each, and for each span its place among them. Spans of one hash are
+    compared by their bytes; where two differ, all are told apart by their bytes instead."""
+    chunks = span_chunks(raw, starts, ends)
+    keys, example, place = np.unique(span_hashes(raw, starts, ends, chunks), return_index=True, return_inverse=True)
+    values, before = chunks
+    twin, counts = example[place], np.diff(before)
+    same = bool((ends - starts == (ends - starts)[twin]).all())
+    if same and len(values):
+        owner = np.repeat(np.arange(len(starts)), counts)
+        same = np.array_equal(values, values[before[twin[owner]] + np.arange(len(values)) - before[owner]])
+    if not same:
+        body = raw.tobytes()
+        found: dict[bytes, int] = {}
+        place = np.array([found.setdefault(body[s:e], len(found)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+        example = np.unique(place, return_index=True)[1]
+        keys = span_hashes(raw, starts[example], ends[example])
+    return keys, example, place
+
+
+def gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after another."""
+    ends = np.cumsum(sizes)
+    return raw[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,5 +161,5 @@ def distinct(values: np.ndarray) -> np.ndarray:
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """For each text the ascending distinct hashes of its k-word shingles, words with A-Z lower-cased."""
     starts, ends, first = word_spans(raw, at)
-    hashes, offset = shingle_hashes(span_hashes(raw, starts, ends, folded=True), first, k)
+    hashes, offset = shingle_hashes(span_hashes(folded(raw), starts, ends), first, k)
     return [distinct(hashes[offset[i] : offset[i + 1]]) for i in range(len(offset) - 1)]

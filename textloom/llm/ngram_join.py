@@ -4,8 +4,10 @@ Every step is exact whatever the data; what follows only decides how much work i
 
 1. *Order.* All shingles are put in one global order: by a coarse document frequency, then by hash. The frequencies
    are counted over all documents: each task sends its distinct shingle hashes, cut into hash ranges and
-   compressed, and each range yields one slice of a table of `table_bits` one-byte levels (8 log2 of the largest
-   frequency in a cell; 0: no shingle of that cell is in two documents). Its size is a parameter, not the data's.
+   compressed, and each range yields one slice of a table of one-byte levels (8 log2 of the largest frequency in a cell;
+   0: no shingle of that cell is in two documents). There are as many ranges as the texts need for each to be counted in
+   bounded memory; beyond 2^HOP_BITS of them they are cut in two steps. The table follows the corpus up to
+   `most_table_bits`, as it is broadcast; beyond that cells are shared, which costs candidates, never links.
 2. *Prefixes.* A link needs an overlap of t(n) = ceil(threshold * n) for either size n, so two linked sets share at
    least min(`common`, t) of the first n - t + `common` shingles in that order. Only those are dealt out, and of
    those only the ones that can occur in another document.
@@ -35,12 +37,17 @@ from pyspark.sql import functions as F
 
 from .bytetext import U64, mix64, shingle_sets, slices
 from .components import connected_components
-from .store import settle, size_in_bytes
+from .store import drop, fresh, settle, text_bytes
 
 #: Bits of a shingle's hash that are counted.
 COUNTED_BITS = 48
 #: Hashes that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Bytes of text whose shingles make a range of hashes, and bits of ranges that are cut in one step.
+RANGE_BYTES = 8 << 20
+HOP_BITS = 12
+#: The table of levels is at most so large, whatever the corpus.
+MOST_TABLE_BITS = 25
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -59,21 +66,40 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=U64)
 
 
-def frequency_levels(docs: DataFrame, k: int, table_bits: int) -> np.ndarray:
+_SENT = "part int, n int, keys binary, counts binary"
+
+
+def _cut(values: np.ndarray, counts: np.ndarray, bits: int, lo: int, hi: int) -> pa.RecordBatch:
+    """Ascending counted hashes as rows of the ranges lo to hi of 2^bits."""
+    cuts = np.searchsorted(values, np.arange(lo, hi + 1, dtype=U64) << U64(COUNTED_BITS - bits))
+    rows = [(lo + r, cuts[r], cuts[r + 1]) for r in range(hi - lo) if cuts[r] < cuts[r + 1]]
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array([r for r, _, _ in rows], pa.int32()), "n": pa.array([int(j - i) for _, i, j in rows], pa.int32()),
+        "keys": pa.array([_pack(values[i:j]) for _, i, j in rows], pa.binary()),
+        "counts": pa.array([pa.compress(np.minimum(counts[i:j], 65535).astype("<u2").tobytes(), codec="zstd", asbytes=True) for _, i, j in rows], pa.binary())})
+
+
+def _merged(ns: list[int], keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of some rows, ascending, and their summed counts."""
+    values = np.concatenate([_unpack(b, n) for b, n in zip(keys, ns)])
+    sums = np.concatenate([np.frombuffer(pa.decompress(b, decompressed_size=2 * n, codec="zstd", asbytes=True), "<u2") for b, n in zip(counts, ns)])
+    order = np.argsort(values)
+    values, sums = values[order], sums[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[first], np.add.reduceat(sums, first)
+
+
+def frequency_levels(docs: DataFrame, k: int, table_bits: int, range_bytes: int = RANGE_BYTES, hop: int = HOP_BITS) -> np.ndarray:
     """The table of levels: a uint8 for each value of the highest `table_bits` bits of a shingle's hash."""
-    range_bits = min(table_bits, 12, max(4, (size_in_bytes(docs) // (8 << 20)).bit_length()))
+    range_bits = min(table_bits, max(4, (text_bytes(docs) // range_bytes).bit_length()))
+    first_bits = min(hop, range_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held) >> U64(64 - COUNTED_BITS), return_counts=True)
-            cuts = np.searchsorted(values, np.arange((1 << range_bits) + 1, dtype=U64) << U64(COUNTED_BITS - range_bits))
-            rows = [(r, cuts[r], cuts[r + 1]) for r in range(1 << range_bits) if cuts[r] < cuts[r + 1]]
-            return pa.RecordBatch.from_pydict({
-                "part": pa.array([r for r, _, _ in rows], pa.int32()), "n": pa.array([int(j - i) for _, i, j in rows], pa.int32()),
-                "keys": pa.array([_pack(values[i:j]) for _, i, j in rows], pa.binary()),
-                "counts": pa.array([pa.compress(np.minimum(counts[i:j], 65535).astype("<u2").tobytes(), codec="zstd", asbytes=True) for _, i, j in rows], pa.binary())})
+            return _cut(values, counts, first_bits, 0, 1 << first_bits)
 
         for batch in batches:
             for _, raw, at in slices(batch, "text"):
@@ -85,21 +111,36 @@ def frequency_levels(docs: DataFrame, k: int, table_bits: int) -> np.ndarray:
         if n:
             yield flush()
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by part: each part's hashes, some at a time, cut into its finer ranges."""
+        part, held, n, wide = -1, [], 0, range_bits - first_bits
+
+        def flush() -> pa.RecordBatch:
+            values, counts = _merged(*map(list, zip(*held)))
+            return _cut(values, counts, range_bits, part << wide, (part + 1) << wide)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "keys", "counts"))):
+                if held and (row[0] != part or n >= FLUSH):
+                    yield flush()
+                    held, n = [], 0
+                part = row[0]
+                held.append(row[1:])
+                n += row[1]
+        if held:
+            yield flush()
+
     def level(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sizes = table["n"].to_pylist()
-        values = np.concatenate([_unpack(b, n) for b, n in zip(table["keys"].to_pylist(), sizes)])
-        counts = np.concatenate([np.frombuffer(pa.decompress(b, decompressed_size=2 * n, codec="zstd", asbytes=True), "<u2") for b, n in zip(table["counts"].to_pylist(), sizes)])
-        order = np.argsort(values)
-        values, counts = values[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        counts = np.add.reduceat(counts, first)
-        values = values[first][counts >= 2]
-        levels = (8 * np.log2(counts[counts >= 2])).astype(np.uint8)
+        values, counts = _merged(table["n"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist())
+        values, counts = values[counts >= 2], counts[counts >= 2]
+        levels = np.minimum(8 * np.log2(counts), 255).astype(np.uint8)
         slice_ = np.zeros(1 << (table_bits - range_bits), np.uint8)
         np.maximum.at(slice_, ((values >> U64(COUNTED_BITS - table_bits)) & U64(len(slice_) - 1)).astype(np.int64), levels)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([pa.compress(slice_.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(send, "part int, n int, keys binary, counts binary")
+    sent = docs.select("text").mapInArrow(send, _SENT)
+    if range_bits > first_bits:
+        sent = sent.repartition("part").sortWithinPartitions("part").mapInArrow(again, _SENT)
     out = np.zeros(1 << table_bits, np.uint8)
     width = 1 << (table_bits - range_bits)
     for row in sent.groupBy("part").applyInArrow(level, "part int, levels binary").toLocalIterator():
@@ -116,7 +157,7 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int, common: int) -> DataFrame:
-    """doc_id, n (set size), shareable (how many of the set may be in two documents), node (digest of the set), prefix
+    """doc_id, th (hash of the text), n (set size), shareable (how many of the set may be in two documents), node (digest of the set), prefix
     (digest of the whole prefix and of shareable, null without shingles), tokens (the shareable hashes of the prefix, 8
     bytes each; null where there are too few shareable ones for any link)."""
     spark = docs.sparkSession
@@ -140,9 +181,9 @@ def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int,
                     node.append(_digest(s))
                     prefix.append(_digest(np.append(s[first], np.array([len(s), shareable[-1]], U64))))
                     tokens.append(s[first][of[first] > 0].tobytes() if shareable[-1] >= need else None)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "shareable": pa.array(shareable, pa.int64()), "node": pa.array(node, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "th": part.column("th"), "n": pa.array(n, pa.int64()), "shareable": pa.array(shareable, pa.int64()), "node": pa.array(node, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n bigint, shareable bigint, node binary, prefix binary, tokens binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(scan, "doc_id bigint, th bigint, n bigint, shareable bigint, node binary, prefix binary, tokens binary")
 
 
 def _explode_tokens(rows: DataFrame) -> DataFrame:
@@ -202,8 +243,15 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
     return home.groupBy("home", "part").cogroup(away.groupBy("a", "salt")).applyInArrow(verify, "a binary, b binary")
 
 
-def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _cell(percent: int) -> str:
+    """SQL of a number by set size n: of two sizes that can link, the numbers are equal or neighbours."""
+    return f"cast(floor(ln(n) / (1.0001D * ln(100D / {percent}))) as int)" if percent < 100 else "cast(2 * n as int)"
+
+
+def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits: int | None, block: int) -> tuple[DataFrame, DataFrame]:
     """The rows of `document_prefixes`, and the classes: node, n, rep, comp (the class's component)."""
+    if table_bits is None:
+        table_bits = min(MOST_TABLE_BITS, max(16, (text_bytes(docs) // 16).bit_length()))
     levels = frequency_levels(docs, k, table_bits)
     rows = settle(document_prefixes(docs, levels, k, percent, common), "prefixes")
     classes = settle(rows.where("node is not null and doc_id is not null").groupBy("node", "n", "shareable", "prefix").agg(F.min("doc_id").alias("rep")), "classes")
@@ -215,7 +263,8 @@ def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits:
     # The head of a shingle's list is the document with the least of its own: where copies of one text differ, that text.
     own = F.struct((F.col("n") - F.col("v")).alias("own"), "gid")
     shared = listed.groupBy("token").agg(F.count("*").alias("f"), F.min(own).alias("head")).where("f > 1").select("token", F.col("head.gid").alias("head"))
-    postings = settle(listed.join(shared, "token").select("token", "gid", "n", "v", "i", "head"), "postings")
+    # Settled first: a join of two plain tables is one that Spark can split at a frequent key.
+    postings = settle(listed.join(settle(shared, "shared"), "token").select("token", "gid", "n", "v", "i", "head"), "postings")
 
     # Each class against one pivot.
     inside = classes.join(heads.where("members > 1").select(F.col("gid").alias("prefix"), "pivot", "grep"), "prefix").where("node != pivot")
@@ -238,13 +287,15 @@ def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits:
     lists = postings.select("token", "gid", "n", "v", "i").join(state, "gid")
     counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"))
     lists_of = counts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.max("mixed").alias("any")).where("comps > 1 or any").select("token", F.col("major.comp").alias("major"))
-    lists = settle(lists.join(lists_of, "token"), "lists")
-    left = lists.where("comp != major or mixed").selectExpr("token", "gid as g1", "n as n1", "v as v1", "i as i1", "comp as c1", "mixed as m1")
-    right = lists.selectExpr("token", "gid as g2", "n as n2", "v as v2", "i as i2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
+    lists = settle(lists.join(settle(lists_of, "list-heads"), "token").withColumn("cell", F.expr(_cell(percent))), "lists")
+    drop(postings)
+    # Only sizes that can link meet, so a frequent shingle's list is not compared as a whole.
+    left = lists.where("comp != major or mixed").selectExpr("token", "explode(sequence(cell - 1, cell + 1)) as cell", "gid as g1", "n as n1", "v as v1", "i as i1", "comp as c1", "mixed as m1")
+    right = lists.selectExpr("token", "cell", "gid as g2", "n as n2", "v as v2", "i as i2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
     # The first shingle that two linked sets share stands among the first n - least_shared + 1 of each; the n - v
     # that no other document holds come before all others.
     early = f"i1 <= v1 - {least_shared} and i2 <= v2 - {least_shared}"
-    met = left.join(right, "token").where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {early}")
+    met = left.join(right, ["token", "cell"]).where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {early}")
     met = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
     met = met.union(state.where("mixed").selectExpr("gid as g1", "gid as g2"))
     one, other = (now.selectExpr(f"prefix as g{i}", f"node as {x}", f"rep as {x}_id", f"comp as {x}_comp") for i, x in ((1, "a"), (2, "b")))
@@ -270,7 +321,7 @@ def _named(rows: DataFrame, now: DataFrame, *more: str) -> DataFrame:
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in more))
 
 
-def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int | None = None, block: int = 128) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a document's set holds its distinct
@@ -285,6 +336,23 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     return _named(rows, now)
 
 
+def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int | None = None, block: int = 128) -> DataFrame:
+    """docs' rows, with all their columns, one of each component: the one with the least doc_id, then the least hash of its
+    text. Of rows that repeat a doc_id each is judged by its own text; of those that repeat the text as well the first
+    stays, by their other columns as JSON. A row without words is a component for itself; rows without doc_id have none and
+    all stay."""
+    rows, now = _classified(_plain(docs, percent, common), k, percent, common, table_bits, block)
+    at = F.col("node") == F.col("at")
+    own = rows.where("doc_id is not null").join(now.select(F.col("node").alias("at"), "comp"), at, "left")
+    alone = F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("th").cast("string")).cast("binary")
+    first = own.groupBy(F.coalesce("comp", alone).alias("c")).agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
+    key, hash_, whole, place = fresh(docs.columns, "key", "hash", "whole", "place")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias(key), F.xxhash64(F.col("text").cast("string")).alias(hash_), F.struct(*docs.columns).alias(whole), F.to_json(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != "text"))).alias(place))
+    met = keyed.join(settle(first.toDF(key, hash_), "first"), [key, hash_], "left_semi")
+    best = met.groupBy(key, hash_).agg(F.min_by(whole, place).alias(whole)).select(f"{whole}.*")
+    return best.union(docs.where("doc_id is null"))
+
+
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many values each set of left shares with each of right."""
     out = np.zeros((len(left), len(right)), np.int64)
@@ -323,7 +391,7 @@ def _links(docs: DataFrame, now: DataFrame, k: int, percent: int, side: int, cou
     if percent == 100:  # different sets cannot link
         return docs.sparkSession.createDataFrame([], schema)
     several = now.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
-    cells = now.join(several, "comp").select("node", "rep", "n", "comp", F.expr(f"cast(floor(ln(n) / (1.0001D * ln(100D / {percent}))) as int)").alias("cell"))
+    cells = now.join(several, "comp").select("node", "rep", "n", "comp", F.expr(_cell(percent)).alias("cell"))
     parts = settle(cells.groupBy("comp", "cell").agg(F.expr(f"cast(ceil(greatest(count(*) / {side}, sum(n) / 1000000)) as int)").alias("parts")), "cells")
     near = parts.join(parts.selectExpr("comp", "cell - 1 as cell", "parts as above"), ["comp", "cell"], "left").join(parts.selectExpr("comp", "cell + 1 as cell", "parts as below"), ["comp", "cell"], "left")
     ids = cells.select("node", F.col("rep").alias("doc_id"), "comp", "cell").join(near, ["comp", "cell"])
@@ -368,7 +436,7 @@ def _links(docs: DataFrame, now: DataFrame, k: int, percent: int, side: int, cou
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, schema)
 
 
-def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128, side: int = 256) -> DataFrame:
+def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int | None = None, block: int = 128, side: int = 256) -> DataFrame:
     """`ngram_components` and n_links: to how many other classes (different sets) the row's class links directly. Copies
     share one class, so they count once and add no link; 0 where there is no set or no doc_id."""
     docs = _plain(docs, percent, common)
@@ -377,7 +445,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3,
     return _named(rows, now.join(found, "node", "left"), "n_links")
 
 
-def class_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int = 25, block: int = 128, side: int = 256) -> DataFrame:
+def class_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int | None = None, block: int = 128, side: int = 256) -> DataFrame:
     """(a, b) for each link between different classes, by their class_id, a <= b (equal only where a repeated doc_id
     names two classes); membership is `ngram_components`'s."""
     docs = _plain(docs, percent, common)

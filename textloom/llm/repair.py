@@ -1,14 +1,16 @@
 """Token ids in Re-Pair compressed shards.
 
 A shard's id sequence is shortened by rounds: each round counts all neighbouring pairs, gives the most frequent ones a
-nonterminal each and replaces them throughout. Pairs of one round are chosen so that no symbol is the right half of
+nonterminal each and replaces them throughout, until no pair occurs `least` times or a round takes less than a `saving`-th
+part of the symbols away. Pairs of one round are chosen so that no symbol is the right half of
 one and the left half of another, hence no two occurrences overlap, except in runs of one symbol, of which every
-second place is replaced. Rules and the ids that each symbol stands for are stored, so the ids of one document are
+second place is replaced. Rules and the number of ids that each stands for are stored, so the ids of one document are
 decoded from the symbols that cover them, without the rest of the shard.
 
 File format (little-endian), one payload a shard:
-    magic "TLRP1\\0", uint32: width of an id (first nonterminal), rules, documents, symbols, bits a symbol; uint64: ids
+    magic "TLRP2\\0", uint32: width of an id (first nonterminal), rules, documents, symbols, bits a symbol; uint64: ids
     rules     uint32 left, uint32 right of each nonterminal, halves before wholes
+    expand    uint32 ids that each nonterminal stands for
     lengths   uint32 ids in each document
     checks    uint64 ids before every BLOCK-th symbol, for random access
     symbols   packed with `bits` bits each, lowest bit first
@@ -20,7 +22,7 @@ import struct
 
 import numpy as np
 
-MAGIC = b"TLRP1\0"
+MAGIC = b"TLRP2\0"
 HEAD = "<6sIIIIIQ"
 BLOCK = 1024
 #: Cells in which pairs are first counted; only pairs of the fullest cells are counted exactly.
@@ -39,12 +41,13 @@ def _pairs_of(seq: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.nd
     return pairs[order], n[order]
 
 
-def compress(ids: np.ndarray, width: int, rounds: int = 4, most: int = 1024, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (int64) and rules (n, 2) of an id sequence. Ids are below width; rule k makes symbol width + k."""
+def compress(ids: np.ndarray, width: int, saving: int = 100, most: int = 4096, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (int64) and rules (n, 2) of an id sequence. Ids are below width; rule k makes symbol width + k. A round
+    replaces at most `most` pairs; saving 0: until no pair is left that occurs `least` times."""
     seq, rules = ids.astype(np.int64), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    size = 2 * len(seq)
+    while len(seq) >= 2 and (size - len(seq)) * saving >= size * (saving > 0):
+        size = len(seq)
         pairs, _ = _pairs_of(seq, most, least)
         lefts, rights, chosen = set(), set(), []
         for p in pairs.tolist():
@@ -83,14 +86,18 @@ def compress(ids: np.ndarray, width: int, rounds: int = 4, most: int = 1024, lea
 
 
 def expansion_lengths(rules: np.ndarray, width: int) -> np.ndarray:
-    """Ids that each symbol stands for. A rule's halves come before it, so a round's rules need those of earlier
-    rounds alone; there are few, so they are taken one by one."""
-    out = [1] * width
+    """Ids that each nonterminal stands for. A rule's halves come before it."""
+    out: list[int] = []
     for a, b in rules.tolist():
-        out.append(out[a] + out[b])
+        out.append((out[a - width] if a >= width else 1) + (out[b - width] if b >= width else 1))
     return np.array(out, np.int64)
 
 
+def _sizes(symbols: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Ids that each symbol stands for, by the lengths of the nonterminals."""
+    return np.append(lengths, 1)[np.where(symbols >= width, symbols - width, len(lengths))]
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, width: int) -> np.ndarray:
     """The ids that symbols stand for: each pass opens every nonterminal once."""
     while len(symbols) and int(symbols.max()) >= width:
@@ -130,9 +137,9 @@ def _unpack_bits(data: memoryview, start: int, n: int, bits: int) -> np.ndarray:
 def write_shard(ids: np.ndarray, lengths: np.ndarray, width: int, **options: int) -> bytes:
     symbols, rules = compress(ids, width, **options)
     bits = max(1, (width + len(rules) - 1).bit_length())
-    sizes = expansion_lengths(rules, width)[symbols] if len(symbols) else np.zeros(0, np.int64)
-    checks = np.concatenate(([0], np.cumsum(sizes)))[:-1:BLOCK] if len(symbols) else np.zeros(0, np.int64)
-    return b"".join([struct.pack(HEAD, MAGIC, width, len(rules), len(lengths), len(symbols), bits, len(ids)), rules.astype("<u4").tobytes(),
+    expand = expansion_lengths(rules, width)
+    checks = np.concatenate(([0], np.cumsum(_sizes(symbols, expand, width))))[:-1:BLOCK] if len(symbols) else np.zeros(0, np.int64)
+    return b"".join([struct.pack(HEAD, MAGIC, width, len(rules), len(lengths), len(symbols), bits, len(ids)), rules.astype("<u4").tobytes(), expand.astype("<u4").tobytes(),
                      lengths.astype("<u4").tobytes(), checks.astype("<u8").tobytes(), _pack_bits(symbols, bits)])
 
 
@@ -146,6 +153,8 @@ class Shard:
         at = struct.calcsize(HEAD)
         self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, at).astype(np.int64).reshape(-1, 2)
         at += 8 * n_rules
+        self.expand = np.frombuffer(payload, "<u4", n_rules, at).astype(np.int64)
+        at += 4 * n_rules
         self.lengths = np.frombuffer(payload, "<u4", self.documents, at).astype(np.int64)
         at += 4 * self.documents
         blocks = -(-self.symbols // BLOCK)
@@ -160,7 +169,11 @@ class Shard:
         first = int(np.searchsorted(self.checks, lo, "right")) - 1
         last = int(np.searchsorted(self.checks, hi - 1, "right"))
         symbols = _unpack_bits(self.stream, first * BLOCK, min(self.symbols, last * BLOCK) - first * BLOCK, self.bits)
-        return expand(symbols, self.rules, self.width)[lo - int(self.checks[first]) : hi - int(self.checks[first])]
+        # Of the blocks' symbols only those that cover the range are expanded, by the lengths that are stored.
+        ends = int(self.checks[first]) + np.cumsum(_sizes(symbols, self.expand, self.width))
+        i, j = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi, "left")) + 1
+        skip = lo - (int(ends[i - 1]) if i else int(self.checks[first]))
+        return expand(symbols[i:j], self.rules, self.width)[skip : skip + hi - lo]
 
     def document(self, i: int) -> np.ndarray:
         return self.slice(int(self.ends[i] - self.lengths[i]), int(self.ends[i]))

@@ -1,16 +1,24 @@
-"""Where intermediate results of the operators live.
+"""Where intermediate results of the operators live, and for how long.
 
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir`` names: every executor and the
 driver can read it, so a lost executor costs no recomputation. Only where that setting is missing (tests on one
 machine) a temporary folder is chosen, and remembered in the session.
+
+Tables that are settled inside `scratch` are deleted at its end; what must outlive it is `kept`, and then belongs to the
+scratch around it, or to the caller, who can `drop` it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,20 +31,67 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+def _delete(spark: SparkSession, path: str) -> None:
+    """By the store's own file system, whichever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns it read back, without its lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table that `settle` or `kept` returned; nothing that reads it may run any more."""
+    _delete(df.sparkSession, df.settled_at)
+    for scope in _scopes:
+        if df.settled_at in scope:
+            scope.remove(df.settled_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that were settled in it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`settle` for the scratch around this one."""
+    own = _scopes.pop() if _scopes else None
+    try:
+        return settle(df, name)
+    finally:
+        if own is not None:
+            _scopes.append(own)
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, for parts of a bounded size: Catalyst's estimate, from the sizes of files, where it has one; else
+    (it then says some exabytes) they are summed."""
+    size = int(str(docs.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else int(docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size, from the sizes of its files; no job runs. 0 where it has none (it then says
-    some exabytes)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 58 else 0
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names for further columns: each as it is, or with as many underscores before it as it takes to be a new one."""
+    seen = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in seen:
+            name = "_" + name
+        seen.add(name.lower())
+        out.append(name)
+    return out
