@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
+import pytest
 
 from textloom.llm import langid, lattice, neighbours
 from textloom.llm.queries import PIECES, tokenizer_path
@@ -25,12 +27,94 @@ def test_forward_sums_all_segmentations():
         for end in range(1, len(chars) + 1):
             for start in range(end):
                 piece = known.get(chars[start:end].encode())
-                if piece is not None and b" " not in chars[start:end].encode()[1:]:
+                if piece is not None and b" " not in chars[start:end].encode().lstrip(b" "):
                     total[end] += total[start] * weight[piece]
                 elif end - start == 1:
                     total[end] += total[start] * weight[-1]
         net = lattice.build(vocabulary, np.frombuffer(unit, np.uint8), np.array([len(unit)]))
-        assert np.isclose(lattice.forward(net, weight[net.piece])[net.last[0]], total[-1])
+        assert np.isclose(lattice.forward(net, weight[net.piece])[0][net.last[0]], total[-1])
+
+
+def log_sum(vocabulary, table, text):
+    """Log of the sum over all segmentations of a whole text, one character after another; a piece has no space after
+    another character."""
+    raw = text.encode()
+    known = {t: i for i, t in enumerate(vocabulary.texts) if i > 2 and i not in set(vocabulary.byte_piece.tolist()) and b" " not in t.lstrip(b" ")}
+    total = [0.0] + [-np.inf] * len(raw)
+    for at in range(len(raw)):
+        if np.isfinite(total[at]):
+            size = next(n for n in (1, 2, 3, 4) if at + n == len(raw) or raw[at + n] & 0xC0 != 0x80)
+            for n in range(1, min(vocabulary.depth, len(raw) - at) + 1):
+                p = table[known[raw[at : at + n]]] if raw[at : at + n] in known else table[-1] if n == size else None
+                if p is not None:
+                    total[at + n] = np.logaddexp(total[at + n], total[at] + p)
+    return total[-1]
+
+
+def test_whole_texts_are_scored_over_all_segmentations():
+    vocabulary = lattice.load(tokenizer_path(PIECES))
+    rng = np.random.default_rng(5)
+    table = np.log(rng.random((len(vocabulary) + 1, 2)) / 1000)
+    table[-1] = langid.BARE
+    scorer = langid.Scorer(langid.Model(("a", "b"), table, tokenizer_path(PIECES)))
+    some = "日本語のテキスト、空白なし。http://ex.org/a?b=c;\r\n    indented  twice\tthere"
+    for text in ("", some, some * 20, "x" * 700 + "né日" * 300, " " * 500):
+        raw, at = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        starts, sizes, place, _ = langid.distinct_units(vocabulary, raw, at)
+        got = scorer.scores(raw, starts, sizes)[place].sum(0)
+        assert np.allclose(got, [log_sum(vocabulary, table[:, j], text) for j in (0, 1)], rtol=1e-9)
+
+
+def test_windows_of_a_long_unit_change_nothing(monkeypatch):
+    vocabulary = lattice.load(tokenizer_path(PIECES))
+    table = np.log(np.random.default_rng(6).random((len(vocabulary) + 1, 2)) / 1000)
+    raw = np.frombuffer(("né日本there" * 900).encode(), np.uint8)
+    model = langid.Model(("a", "b"), table, tokenizer_path(PIECES))
+    whole = langid.Scorer(model).scores(raw, np.array([0]), np.array([len(raw)]))
+    monkeypatch.setattr(langid, "BLOCK_BYTES", 1000)
+    assert np.allclose(langid.Scorer(model).scores(raw, np.array([0]), np.array([len(raw)])), whole, rtol=1e-12)
+
+
+def test_expected_counts_equal_enumeration():
+    """The expected uses of each piece: probability times the gradient of the log likelihood."""
+    vocabulary = lattice.load(tokenizer_path(PIECES))
+    probability = np.random.default_rng(7).random((len(vocabulary) + 1, 1)) / 1000
+    for text in (" there", "x" * 150 + "there"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        net = lattice.build(vocabulary, raw, np.array([len(raw)]))
+        expected = np.zeros(probability.shape)
+        langid._expect(net, probability, np.ones((1, 1)), expected)
+        table = np.log(probability[:, 0])
+        table[-1] = langid.BARE
+        base = log_sum(vocabulary, table, text)
+        for i in np.unique(net.piece[net.piece >= 0])[:8]:
+            up = table.copy()
+            up[i] += 1e-6
+            assert np.isclose(expected[i, 0], (log_sum(vocabulary, up, text) - base) / 1e-6, rtol=1e-3, atol=1e-7)
+        size = np.array([len(vocabulary.texts[i]) for i in range(len(vocabulary))] + [0])
+        assert np.isclose((expected[:, 0] * size).sum(), len(raw))
+
+
+def test_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    docs = spark.read.parquet(path)
+    told = langid.predict(docs, langid.fit(docs, tokenizer_path(PIECES))).alias("p").join(docs.alias("d"), "doc_id").where(langid.held_out()).where("lang is not null and lang_pred != 'und'")
+    rows = told.select("lang", "lang_pred").collect()
+    assert len(rows) > 30 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_letters_are_letters(spark):
+    model = langid.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string"), tokenizer_path(PIECES), sample=60)
+    odd = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 %"), (1, "½ ² ① Ⅷ 12 %"), (None, "ª"), (2, "ñ"), (3, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["lang_pred"] == "und", r["score"] == 0) for r in langid.predict(odd, model).collect()) == [(0, False, False), (1, True, True), (1, True, True), (2, False, False), (3, True, True)]
+
+
+def test_labels_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "a b", str(i)) for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, tokenizer_path(PIECES), most_languages=5)
 
 
 def test_languages_are_told(spark):

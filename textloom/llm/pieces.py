@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lattice
-from .bytetext import U64, mix64, slices
-from .langid import distinct_units, gather
+from .bytetext import U64, gather, mix64, slices
+from .langid import distinct_units
 
 #: Log weight of a character without a piece.
 BARE = -20.0
@@ -40,14 +40,14 @@ def sample_ids(vocabulary: lattice.Vocabulary, weight: np.ndarray, raw: np.ndarr
     """Piece ids of all texts in a row, and the number before each text (len+1). keys: uint64, by text."""
     if not len(raw):
         return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
-    _, starts, sizes, place, first, _ = distinct_units(raw, at)
+    starts, sizes, place, first = distinct_units(vocabulary, raw, at)
     body = gather(raw, starts, sizes)
     net = lattice.build(vocabulary, body, sizes)
-    total = lattice.forward(net, weight[net.piece] * np.exp(SCALE * (net.target - net.source)))
+    total, factor = lattice.forward(net, weight[net.piece] * np.exp(SCALE * (net.target - net.source)))
     # For each position, the arcs that end there and the draws below which each is taken.
     order = np.lexsort((net.source, net.target))
     source, target, piece = net.source[order], net.target[order], net.piece[order]
-    share = total[source] * weight[piece] * np.exp(SCALE * (target - source)) / total[target]
+    share = total[source] * weight[piece] * np.exp(SCALE * (target - source) + factor[source] - factor[target]) / total[target]
     rank = np.arange(len(target)) - np.searchsorted(target, target)
     upto = share.copy()
     for r in range(1, int(rank.max()) + 1):
@@ -69,13 +69,11 @@ def sample_ids(vocabulary: lattice.Vocabulary, weight: np.ndarray, raw: np.ndarr
         where = source[arc]
         more = where > begin
         live, where, begin, state = live[more], where[more], begin[more], state[more]
-    counts = np.zeros(n, np.int64)
-    for h in holders:
-        counts[h] += 1
-    ends = np.cumsum(counts)
-    chosen = np.empty(int(ends[-1]), np.int64)
-    for step, (arc, h) in enumerate(zip(arcs, holders)):
-        chosen[ends[h] - 1 - step] = arc
+    drawn, holder = np.concatenate(arcs), np.concatenate(holders)
+    step = np.repeat(np.arange(len(arcs)), [len(h) for h in holders])
+    ends = np.cumsum(np.bincount(holder, minlength=n))
+    chosen = np.empty(len(drawn), np.int64)
+    chosen[ends[holder] - 1 - step] = drawn
     ids = piece[chosen]
     before = np.concatenate(([0], ends))[first]
     bare = np.flatnonzero(ids < 0)
@@ -104,7 +102,9 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     lossless (the ids decode to the text; checked for every row) and, if asked for, piece_ids.
 
     model: path of a SentencePiece model file on every machine. A null or empty text has no ids, and decodes to the
-    empty text. A null key is drawn for as 0. Rows with equal key and text are drawn alike. Whole texts are encoded.
+    empty text. A null key is drawn for as 0. Rows with equal key and text are drawn alike. Whole texts are encoded, of any
+    length, over all segmentations; a worker holds some 150 bytes for each byte of the longest text. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
