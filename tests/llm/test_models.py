@@ -156,7 +156,7 @@ def test_neighbours_reach_the_recall(spark):
     x[1000:1900] = x[1000]  # one vector makes a third of the rows
     ids = rng.permutation(3000)
     df = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, rank int")
-    options = neighbours.Options(sample=1500, list_rows=50, block=256, query_block=32)
+    options = neighbours.Options(sample=1500, list_rows=25, block=256, query_block=32)
     rows = neighbours.search(df, 20, 20, options).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
@@ -177,3 +177,28 @@ def test_odd_vectors_take_no_part(spark):
     out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(df).collect())
     assert out == [(0, 1, 1, 0.5), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5)]
     assert neighbours.search(df.limit(0)).collect() == []
+
+
+def test_graph_search_finds_the_nearest():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    index = neighbours.Index(x, neighbours.centroid_graph(x, 24), np.arange(0, 400, 25), 1.0, 1, 1.0)
+    q = rng.normal(size=(50, 8)).astype(np.float32)
+    ids, far = neighbours.graph_search(index, q, 64)
+    want = neighbours._distances(q, x)
+    for i in range(50):
+        assert len(set(ids[i].tolist())) == len(ids[i])
+        assert np.mean(np.isin(np.argsort(want[i])[:20], ids[i])) >= 0.95 and np.allclose(far[i], want[i][ids[i]], rtol=1e-3, atol=1e-4)
+
+
+def test_repeated_ids_and_short_lists(spark):
+    """Sixty vectors of one vec_id take one place, and every query gets all it is due."""
+    rng = np.random.default_rng(9)
+    rows = [(1, v) for v in rng.normal(size=(60, 4)).tolist()] + [(i, v) for i, v in zip(range(2, 40), rng.normal(size=(38, 4)).tolist())] + [(0, [9.0, 9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in (neighbours.Options(), neighbours.Options(list_rows=3, within=0.1, recall=0.1, replicas=1)):
+        out = neighbours.search(df, options=options).collect()
+        got = {q: [r for r in out if r["query_id"] == q] for q in (0, 20)}
+        assert [len(x) for x in got.values()] == [20, 20] and all(len({r["vec_id"] for r in x}) == 20 for x in got.values())
+        best = max(sum(a * 9.0 for a in v) for i, v in rows if i == 1)
+        assert all(np.isclose(r["score"], best) for r in got[0] if r["vec_id"] == 1)

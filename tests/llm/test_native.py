@@ -22,7 +22,7 @@ def measured(text):
 def test_quality_measurements(spark):
     rng = random.Random(2)
     texts = [None, "", "\n\n", "a b c d e a b c d e", "x " * 5000, "é ß\x0bq\n" * 3] + [" ".join(rng.choice("abé#") for _ in range(rng.randrange(60))) + "\n" * rng.randrange(3) for _ in range(200)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'clash' as n_words")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'clash' as n_words", "1 as _w", "2 as t", "3 as w", "4 as words", "5 as `S`", "6 as at")
     out = {r["doc_id"]: r for r in quality.apply_policy(quality.ledger(rows)).collect()}
     for i, t in enumerate(texts):
         r = out[i]
@@ -120,6 +120,38 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_templates_from_a_table(spark):
+    lines = spark.createDataFrame([("a", "one two three four five six"), ("b", "p q r"), ("c", " ".join(f"w{i}" for i in range(40)))], "license string, text string")
+    half = " ".join(f"w{i}" for i in range(36))
+    docs = spark.createDataFrame([(1, "x One, two three four five six y"), (2, half), (None, half), (3, half[:100]), (4, "p q r")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["license"], r["n_shared"], r["n_shingles"], r["first_word"]) for r in licenses.scan(docs, lines).collect())
+    assert got == [(0, "c", 32, 36, 0), (1, "a", 2, 2, 1), (2, "c", 32, 36, 0)]
+
+
+def test_short_and_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/es/" + "a" * 200_000, "<p>" * 100_000), (2, "://", ""), (3, "", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["verdict"], r["rule"]) for r in urlfilter.judge(pages).collect()} == {1: ("block", "net/es/"), 2: ("allow", None), 3: ("allow", None)}
+
+
+def test_operators_leave_one_table_at_most(spark):
+    from pathlib import Path
+
+    from textloom.llm import neighbours, ngram_join, store
+
+    folder = Path(store.shared_dir(spark).removeprefix("file://"))
+    tables = lambda: {p.name for p in folder.iterdir()}
+    before = tables()
+    docs = spark.createDataFrame([(i, f"Released under the MIT License. a{i % 3} b c d e f") for i in range(9)], "doc_id bigint, text string")
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    pages = spark.createDataFrame([(1, "http://q.org/1", '<link rel="canonical" href="http://x.net/es/1">')], "page_id long, url string, html string")
+    made = [ngram_join.ngram_links(docs, table_bits=10), neighbours.search(vectors), urlfilter.judge(pages), licenses.scan(docs)]
+    assert [df.count() for df in made] == [9, 60, 1, 9]
+    assert len(tables() - before) == len(made)
+    for df in made:
+        store.drop(df)
+    assert tables() == before
+
+
 def test_no_short_template_is_missed(spark):
     """Templates of one shingle that open a text, between words that differ from text to text."""
     lines = tuple((f"line-{i}", f"u{i} v{i} w{i} x{i} y{i}") for i in range(40))
@@ -148,7 +180,7 @@ def test_boundaries_are_optimal():
 def test_batches_keep_the_budget(spark):
     rng = random.Random(6)
     rows = [(i % 450, "é" * rng.choice([0, 3, 50, 400, 3000])) for i in range(500)] + [(None, None), (None, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as bucket")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as bucket", "'y' as place")
     out = packing.pack(df, buckets=3, budget=1000, chunk=64).collect()
     assert len(out) == len(rows) and sorted(r["n_tokens"] for r in out) == sorted(len((t or "").encode()) + 1 for _, t in rows)
     batches = {}
@@ -159,3 +191,20 @@ def test_batches_keep_the_budget(spark):
         assert len({r["boundary"] for r in b}) == 1 and sorted(r["slot"] for r in b) == list(range(len(b)))
         assert len(b) == 1 or len(b) * b[0]["boundary"] <= 1000
     assert packing.pack(df.limit(0)).collect() == []
+    assert sorted(str(r["text"]) for r in packing.pack(df, carry=("text",)).collect()) == sorted(str(t) for _, t in rows)
+
+
+def test_rows_of_one_id_fill_many_chunks(spark):
+    df = spark.range(20000).selectExpr("cast(null as bigint) as doc_id", "'x' as text")
+    chunks = {}
+    for r in packing.pack(df, chunk=64, budget=80).collect():
+        chunk = r["batch_id"].split("-")[1]
+        chunks[chunk] = chunks.get(chunk, 0) + 1
+    assert len(chunks) > 250 and max(chunks.values()) < 150
+
+
+def test_long_texts_are_batches_of_their_own(spark):
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([10, 10, 999, 1000, 5000, 5000])], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in packing.pack(df, budget=1000, buckets=2).collect()}
+    assert [out[i]["boundary"] for i in range(6)] == [16, 16, 1000, 1008, 5008, 5008]
+    assert len({out[i]["batch_id"] for i in (3, 4, 5)}) == 3 and out[0]["batch_id"] == out[1]["batch_id"] and out[3]["bucket"] == 2

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from . import lattice
 from .bytetext import distinct_spans, gather, slices
-from .store import fresh, settle
+from .store import drop, fresh, settle
 
 #: A character without a piece has this log probability in every language.
 BARE = -16.0
@@ -98,6 +98,7 @@ def fit(docs: DataFrame, path: str, sample: int = 2000, rounds: int = 3, smoothi
         probability = (expected + smoothing) / (expected + smoothing).sum(0)
     table = np.log(probability)
     table[-1] = BARE
+    drop(drawn)
     return Model(languages, table, path)
 
 

@@ -6,9 +6,11 @@ share, so lists are balanced. Centroids are searched by a graph in memory (each
 search with a beam). Every vector goes to its nearest centroid's list, and a boundary vector also to others whose
 distance is within a ratio of the least.
 
-Search. A query takes the lists of the centroids within a distance ratio of the nearest (as many as `probes`), and
-is compared with every vector there. Lists and their queries are cut into blocks of bounded size, whatever a list's
-size, and each block gives its best; those are merged by query.
+Search. A query takes the lists of the centroids within a distance ratio of the nearest, and is compared with every
+vector there. How many lists and which ratio is fitted: queries from the sample are answered by brute force over the
+sample, and both are the least that reach the shares `recall` and `within` of their neighbours. Lists and their queries are cut into blocks of bounded size,
+whatever a list's size, and each block gives its best; those are merged by query. A query whose lists hold fewer
+neighbours than it is due is compared with all lists.
 """
 
 from __future__ import annotations
@@ -22,38 +24,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import settle
+from .store import kept, scratch, settle
 
 
 @dataclass(frozen=True)
 class Options:
-    """sample: most vectors that reach the driver. list_rows: wished for in a list, while there are at most
-    `most_lists`. degree, beam: of the graph. replicas, boundary: most lists of a vector, and the ratio of squared
-    distances up to which a list is its. probes, ratio: the same for a query, which always takes the `sure` nearest lists.
+    """sample: most vectors that reach the driver, about. list_rows: wished for in a list, while there are at most
+    `most_lists`, and four vectors of the sample for each. degree, beam: of the graph; the beam grows with the lists that a
+    query takes. replicas, boundary: most lists of a vector, and the ratio of squared distances up to which a list is
+    its. recall, within: the shares of neighbours that the fitted number of lists and distance ratio reach on the sample;
+    held: queries to fit them on.
     block: most rows of a block."""
 
     sample: int = 40_000
     list_rows: int = 200
-    most_lists: int = 16_384
+    most_lists: int = 10_000
     degree: int = 24
-    beam: int = 160
-    replicas: int = 6
-    boundary: float = 1.25
-    probes: int = 128
-    sure: int = 64
-    ratio: float = 2.5
+    beam: int = 64
+    replicas: int = 4
+    boundary: float = 1.15
+    recall: float = 0.95
+    within: float = 0.99
+    held: int = 256
     block: int = 4096
     query_block: int = 512
 
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids (float32), the graph's neighbours by centroid, entry points, and the norm to which vectors are lifted."""
+    """Centroids (float32), the graph's neighbours by centroid, entry points, the norm to which vectors are lifted, and the
+    number of lists that a query takes at most and ratio of squared distances (beyond what any vector must have) for them."""
 
     centroids: np.ndarray
     links: np.ndarray
     entries: np.ndarray
     norm: float
+    probes: int
+    ratio: float
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -129,16 +136,18 @@ def graph_search(index: Index, x: np.ndarray, beam: int) -> tuple[np.ndarray, np
         pick = np.argsort(~waiting, 1, kind="stable")[:, :4]
         heads = np.take_along_axis(ids, pick, 1)
         real = np.take_along_axis(waiting, pick, 1)
-        opened[rows, heads] |= real
-        new = index.links[heads].reshape(n, -1)
-        fresh = np.repeat(real, index.links.shape[1], 1) & ~seen[rows, new]
+        of, nth = np.nonzero(real)
+        opened[of, heads[of, nth]] = True
+        # Where fewer are waiting, a head stands for its own links: they are seen, and hide no other's.
+        new = np.where(real[:, :, None], index.links[heads], heads[:, :, None]).reshape(n, -1)
+        fresh = ~seen[rows, new]
         # Of centroids met twice in one step, the first counts.
         by = np.argsort(new, 1, kind="stable")
         again = np.zeros(new.shape, bool)
         sorted_ = np.take_along_axis(new, by, 1)
         np.put_along_axis(again, by[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], 1)
         fresh &= ~again
-        seen[rows, new] |= fresh
+        seen[rows, new] = True
         d = np.where(fresh, distance(new), np.inf)
         ids, far = np.concatenate((ids, new), 1), np.concatenate((far, d), 1)
 
@@ -159,44 +168,113 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def fit(rows: DataFrame, options: Options) -> Index | None:
+def fit(rows: DataFrame, options: Options, k: int = 20) -> Index | None:
     """The index of usable rows, from a sample of them by a hash of vec_id; None without rows."""
     stats = rows.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")).alias("m")).first()
     if not stats["n"]:
         return None
     share = min(1.0, options.sample / stats["n"])
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    x = _matrix(drawn.orderBy("vec_id").select("embedding").toArrow()["embedding"])
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "embedding", F.lit("ann")), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else rows
+    x = _matrix(drawn.orderBy("vec_id", "embedding").select("embedding").toArrow()["embedding"])
     if not len(x):
         x = _matrix(rows.limit(1).toArrow()["embedding"])
     lists = int(min(options.most_lists, max(1, stats["n"] // options.list_rows), max(1, len(x) // 4)))
     centroids = balanced_centroids(lifted(x, stats["m"]), lists)
     entries = np.unique(np.linspace(0, len(centroids) - 1, min(16, len(centroids))).astype(np.int64))
-    return Index(centroids, centroid_graph(centroids, options.degree), entries, float(stats["m"]))
+    probes, ratio = fitted_reach(x, centroids, float(stats["m"]), max(1, round(k * share)), options)
+    return Index(centroids, centroid_graph(centroids, options.degree), entries, float(stats["m"]), probes, ratio)
+
+
+def _distances(y: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    c = centroids.astype(np.float64)
+    return np.maximum(0.0, (y.astype(np.float64) ** 2).sum(1)[:, None] + (c**2).sum(1) - 2 * y @ c.T)
+
+
+def unavoidable(x: np.ndarray, norm: float) -> np.ndarray:
+    """Of queries, the squared distance that any vector has at least, as all lie on one sphere."""
+    return np.maximum(0.0, np.sqrt(norm) - np.sqrt((x**2).sum(1)))[:, None] ** 2
+
+
+def fitted_reach(x: np.ndarray, centroids: np.ndarray, norm: float, k: int, options: Options) -> tuple[int, float]:
+    """Among how many lists, and within which ratio, enough of the k nearest of some rows of the sample x, in it, have one of
+    theirs. k is less than asked for where x is a part of the table, as its rows are that much farther apart."""
+    rng = np.random.default_rng(11)
+    distinct = np.unique(x, axis=0, return_index=True)[1]
+    queries = np.sort(rng.choice(distinct, min(options.held, len(distinct)), replace=False))
+    ranks, ratios = [], []
+    for q in queries.tolist():
+        score = x @ x[q]
+        score[q] = -np.inf
+        top = np.argpartition(-score, min(k, len(x) - 1) - 1)[:k] if len(x) > 1 else np.zeros(0, np.int64)
+        if not len(top):
+            continue
+        far = _distances(lifted(x[top], norm), centroids)
+        order = np.argsort(far, 1, kind="stable")[:, : options.replicas]
+        near = np.take_along_axis(far, order, 1)
+        own = np.pad(x[q : q + 1], ((0, 0), (0, 1)))
+        mine = _distances(own, centroids)[0] - unavoidable(x[q : q + 1], norm)[0]
+        asked = np.where((np.arange(order.shape[1]) < 1) | (near <= options.boundary * near[:, :1]), mine[order], np.inf).min(1)
+        ranks.append((mine < asked[:, None]).sum(1) + 1)
+        ratios.append(asked / max(mine.min(), 1e-12))
+    if not ranks:
+        return 1, 1.0
+    return int(np.ceil(np.quantile(np.concatenate(ranks), options.recall))), float(np.quantile(np.concatenate(ratios), options.within))
 
 
 def lifted(x: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(0.0, norm - (x**2).sum(1)))[:, None]), 1).astype(np.float32)
 
 
+def _best(vectors: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """Of each asking vector the k best other vec_ids of a block, ties to the smaller one."""
+    out = ([], [], [])
+    if vectors.num_rows and asking.num_rows:
+        v, ids = _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        v, ids = v[order], ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        columns = np.ascontiguousarray(v.T)
+        for i in range(0, asking.num_rows, 64):
+            part = asking.slice(i, 64)
+            q, q_ids = _matrix(part["embedding"]), part["vec_id"].to_numpy()
+            score = np.zeros((len(q), len(v)))
+            for d in range(v.shape[1]):  # component by component, so that equal vectors get equal scores
+                score += q[:, d, None] * columns[d]
+            if len(first) < len(ids):  # a vec_id with several vectors counts with its best
+                score = np.maximum.reduceat(score, first, axis=1)
+            own = ids[first]
+            score[q_ids[:, None] == own] = -np.inf
+            limit = -np.partition(-score, k - 1, 1)[:, k - 1] if len(own) > k else np.full(len(q), -np.inf)
+            for j in range(len(q)):
+                t = np.flatnonzero((score[j] >= limit[j]) & np.isfinite(score[j]))
+                t = t[np.argsort(-score[j][t], kind="stable")][:k]
+                out[0].append(np.full(len(t), q_ids[j])), out[1].append(own[t]), out[2].append(score[j][t])
+    a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in out)
+    return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
+
+
 def search(vectors: DataFrame, divisor: int = 20, k: int = 20, options: Options = Options()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each vec_id divisible by `divisor`, the k best found of all other
     vec_ids, by largest inner product in double precision (summed in the order of the components); ties go to the
-    smaller vec_id, and fewer candidates give fewer rows.
+    smaller vec_id, and a table of fewer candidates gives fewer rows, else each query gets k.
 
     Rows whose vector is null, zero, of another size or holds null, NaN or infinite components, or that have no
     vec_id, take no part. Rows that repeat a vec_id count as one: as a query the least of their vectors, as a
-    candidate the best. Extra columns are ignored; an empty table gives no rows.
+    candidate the best. Extra columns are ignored, whatever their names; an empty table gives no rows.
     """
+    with scratch(vectors.sparkSession):
+        return kept(_search(vectors, divisor, k, options), "neighbours")
+
+
+def _search(vectors: DataFrame, divisor: int, k: int, options: Options) -> DataFrame:
     spark = vectors.sparkSession
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
     rows = settle(usable(vectors).distinct(), "vectors")
-    index = fit(rows, options)
+    index = fit(rows, options, k)
     if index is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     shared = spark.sparkContext.broadcast(index)
 
-    def assign(most: int, sure: int, ratio: float, lift: bool):
+    def assign(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             step = max(64, min(1024, (1 << 25) // len(index.centroids)))
@@ -204,56 +282,47 @@ def search(vectors: DataFrame, divisor: int = 20, k: int = 20, options: Options
                 for i in range(0, batch.num_rows, step):
                     part = batch.slice(i, step)
                     x = _matrix(part.column("embedding"))
-                    y = lifted(x, index.norm) if lift else np.pad(x, ((0, 0), (0, 1))).astype(np.float32)
-                    ids, far = graph_search(index, y, max(options.beam, most))
-                    ids, far = ids[:, :most], far[:, :most]
-                    # Of a query, distances count beyond what any vector must have, as all lie on one sphere.
-                    least = 0.0 if lift else np.maximum(0.0, np.sqrt(index.norm) - np.sqrt((x**2).sum(1)))[:, None] ** 2
-                    keep = np.isfinite(far) & ((np.arange(far.shape[1]) < sure) | (far - least <= ratio * (far[:, :1] - least) + 1e-12))
+                    if query:
+                        ids, far = graph_search(index, np.pad(x, ((0, 0), (0, 1))).astype(np.float32), max(options.beam, index.probes * 5 // 4))
+                        ids, far = ids[:, : index.probes], far[:, : index.probes]
+                        least, ratio = unavoidable(x, index.norm), index.ratio
+                    else:
+                        ids, far = graph_search(index, lifted(x, index.norm), 8 * options.replicas)
+                        ids, far = ids[:, : options.replicas], far[:, : options.replicas]
+                        least, ratio = 0.0, options.boundary
+                    keep = np.isfinite(far) & ((np.arange(far.shape[1]) < 1) | (far - least <= ratio * (far[:, :1] - least) + 1e-12))
                     at = pa.array(np.repeat(np.arange(len(x)), keep.sum(1)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[keep].astype(np.int32)), part.column("vec_id").take(at), part.column("embedding").take(at)], names=["list", "vec_id", "embedding"])
 
         return run
 
     posting = "list int, vec_id bigint, embedding array<double>"
-    lists = settle(rows.mapInArrow(assign(options.replicas, 1, options.boundary, True), posting), "lists")
-    queries = rows.where(f"vec_id % {divisor} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = settle(queries.mapInArrow(assign(options.probes, options.sure, options.ratio, False), posting), "asked")
-    sizes = lists.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.block}) as int)").alias("blocks"))
-    counts = asked.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.query_block}) as int)").alias("q_blocks"))
-    plan = settle(sizes.join(counts, "list"), "blocks")
-    left = lists.join(plan, "list").withColumn("block", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)")).withColumn("q_block", F.explode(F.expr("sequence(0, q_blocks - 1)")))
-    right = asked.join(plan, "list").withColumn("q_block", F.expr("cast(pmod(xxhash64(vec_id), q_blocks) as int)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-
-    def best(vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if vectors.num_rows and asking.num_rows:
-            v, ids = _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            v, ids = v[order], ids[order]
-            columns = np.ascontiguousarray(v.T)
-            for i in range(0, asking.num_rows, 64):
-                part = asking.slice(i, 64)
-                q, q_ids = _matrix(part["embedding"]), part["vec_id"].to_numpy()
-                score = np.zeros((len(q), len(v)))
-                for d in range(v.shape[1]):  # component by component, so that equal vectors get equal scores
-                    score += q[:, d, None] * columns[d]
-                score[q_ids[:, None] == ids] = -np.inf
-                top = np.argsort(-score, 1, kind="stable")[:, : 2 * k] if len(ids) <= 4 * k else _top(score, k)
-                for j in range(len(q)):
-                    t = top[j][np.isfinite(score[j][top[j]])]
-                    out[0].append(np.full(len(t), q_ids[j])), out[1].append(ids[t]), out[2].append(score[j][t])
-        a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
-
-    def _top(score: np.ndarray, k: int) -> list[np.ndarray]:
-        """All places whose score is not below the k-th best, best first, ties by place."""
-        limit = -np.partition(-score, k - 1, 1)[:, k - 1]
-        return [p[np.argsort(-s[p], kind="stable")][: 2 * k] for s, p in ((score[j], np.flatnonzero(score[j] >= limit[j])) for j in range(len(score)))]
-
-    met = left.select(*(F.col(c).alias(c) for c in ("list", "block", "q_block", "vec_id", "embedding"))).groupBy("list", "block", "q_block").cogroup(
-        right.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("q_block").alias("q"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding")).groupBy("l", "b", "q"))
-    found = met.applyInArrow(best, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    lists = settle(rows.mapInArrow(assign(False), posting), "lists")
+    sizes = settle(lists.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.block}) as int)").alias("blocks")), "sizes")
+    queries = settle(rows.where(f"vec_id % {divisor} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+
+    def compared(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of each block's best."""
+        counts = asked.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.query_block}) as int)").alias("q_blocks"))
+        plan = settle(sizes.join(counts, "list"), "blocks")
+        left = lists.join(plan, "list").withColumn("block", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)")).withColumn("q_block", F.explode(F.expr("sequence(0, q_blocks - 1)")))
+        right = asked.join(plan, "list").withColumn("q_block", F.expr("cast(pmod(xxhash64(vec_id), q_blocks) as int)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        met = left.select(*(F.col(c).alias(c) for c in ("list", "block", "q_block", "vec_id", "embedding"))).groupBy("list", "block", "q_block").cogroup(
+            right.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("q_block").alias("q"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding")).groupBy("l", "b", "q"))
+        return met.applyInArrow(lambda a, b: _best(a, b, k), "query_id bigint, vec_id bigint, score double")
+
+    asked = settle(queries.mapInArrow(assign(True), posting), "asked")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return merged.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+
+    found = settle(best_of(compared(asked)), "found")
+    due = min(k, rows.select("vec_id").distinct().count() - 1)
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {due}").select(F.col("query_id").alias("vec_id"))
+    short = settle(queries.join(full, "vec_id", "left_anti"), "short")
+    if due <= 0 or short.isEmpty():
+        return found
+    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list"), "vec_id", "embedding")
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").union(best_of(compared(every)))

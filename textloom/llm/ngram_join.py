@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import U64, mix64, shingle_sets, slices
 from .components import connected_components
-from .store import drop, fresh, settle, text_bytes
+from .store import among, drop, fresh, kept, scratch, settle, text_bytes, whole
 
 #: Bits of a shingle's hash that are counted.
 COUNTED_BITS = 48
@@ -202,16 +202,6 @@ def _explode_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("gid", "n", "v", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint, v bigint, i bigint")
 
 
-def among(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
-    """Rows of docs whose doc_id may be in ids, and all whose doc_id is: those whose hash is marked in 2^bits bits, which
-    are broadcast whatever the number of ids. More ids than that cost rows that a join drops later."""
-    at = f"pmod(xxhash64(doc_id), {1 << bits}L)"
-    marks = ids.groupBy(F.expr(f"{at} div 32768").alias("bucket")).agg(F.expr(f"bitmap_construct_agg({at} % 32768)").alias("marks"))
-    byte = f"cast(conv(hex(substring(marks, cast({at} % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
-    marked = f"{at} div 32768 = bucket and getbit({byte}, cast({at} % 8 as int)) = 1"
-    return docs.join(F.broadcast(marks), F.expr(marked), "left_semi")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Of distinct pairs (a, a_id, b, b_id) of nodes and a document of each, those (a, b) that link."""
     ids = pairs.selectExpr("a as node", "a_id as doc_id").union(pairs.selectExpr("b as node", "b_id as doc_id")).distinct()
@@ -332,8 +322,8 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, common: int
     Null doc_id: n_shingles is counted, but the row has no identity to link by, so both ids are null. Repeated
     doc_id: each row is judged by its own text; its component is that of its text. Other columns are ignored.
     """
-    rows, now = _classified(_plain(docs, percent, common), k, percent, common, table_bits, block)
-    return _named(rows, now)
+    with scratch(docs.sparkSession):
+        return kept(_named(*_classified(_plain(docs, percent, common), k, percent, common, table_bits, block)), "components")
 
 
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int | None = None, block: int = 128) -> DataFrame:
@@ -341,15 +331,16 @@ def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3,
     text. Of rows that repeat a doc_id each is judged by its own text; of those that repeat the text as well the first
     stays, by their other columns as JSON. A row without words is a component for itself; rows without doc_id have none and
     all stay."""
-    rows, now = _classified(_plain(docs, percent, common), k, percent, common, table_bits, block)
-    at = F.col("node") == F.col("at")
-    own = rows.where("doc_id is not null").join(now.select(F.col("node").alias("at"), "comp"), at, "left")
-    alone = F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("th").cast("string")).cast("binary")
-    first = own.groupBy(F.coalesce("comp", alone).alias("c")).agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
-    key, hash_, whole, place = fresh(docs.columns, "key", "hash", "whole", "place")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias(key), F.xxhash64(F.col("text").cast("string")).alias(hash_), F.struct(*docs.columns).alias(whole), F.to_json(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != "text"))).alias(place))
-    met = keyed.join(settle(first.toDF(key, hash_), "first"), [key, hash_], "left_semi")
-    best = met.groupBy(key, hash_).agg(F.min_by(whole, place).alias(whole)).select(f"{whole}.*")
+    with scratch(docs.sparkSession):
+        rows, now = _classified(_plain(docs, percent, common), k, percent, common, table_bits, block)
+        own = rows.where("doc_id is not null").join(now.select(F.col("node").alias("at"), "comp"), F.col("node") == F.col("at"), "left")
+        alone = F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("th").cast("string")).cast("binary")
+        first = kept(own.groupBy(F.coalesce("comp", alone).alias("c")).agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th"), "first")
+    key, hash_, whole_, place = fresh(docs.columns, "key", "hash", "whole", "place")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias(key), F.xxhash64(F.col("text").cast("string")).alias(hash_), whole(docs).alias(whole_), others.alias(place))
+    met = keyed.join(first.toDF(key, hash_), [key, hash_], "left_semi")
+    best = met.groupBy(key, hash_).agg(F.min_by(whole_, place).alias(whole_)).select(f"{whole_}.*")
     return best.union(docs.where("doc_id is null"))
 
 
@@ -440,13 +431,15 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3,
     """`ngram_components` and n_links: to how many other classes (different sets) the row's class links directly. Copies
     share one class, so they count once and add no link; 0 where there is no set or no doc_id."""
     docs = _plain(docs, percent, common)
-    rows, now = _classified(docs, k, percent, common, table_bits, block)
-    found = _links(docs, now, k, percent, side, True).groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    return _named(rows, now.join(found, "node", "left"), "n_links")
+    with scratch(docs.sparkSession):
+        rows, now = _classified(docs, k, percent, common, table_bits, block)
+        found = _links(docs, now, k, percent, side, True).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        return kept(_named(rows, now.join(found, "node", "left"), "n_links"), "links")
 
 
 def class_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3, table_bits: int | None = None, block: int = 128, side: int = 256) -> DataFrame:
     """(a, b) for each link between different classes, by their class_id, a <= b (equal only where a repeated doc_id
     names two classes); membership is `ngram_components`'s."""
     docs = _plain(docs, percent, common)
-    return _links(docs, _classified(docs, k, percent, common, table_bits, block)[1], k, percent, side, False)
+    with scratch(docs.sparkSession):
+        return kept(_links(docs, _classified(docs, k, percent, common, table_bits, block)[1], k, percent, side, False), "class-links")

@@ -2,8 +2,8 @@
 
 The histogram of lengths is summed over all documents; a dynamic program over it chooses the bucket boundaries that
 leave the least padding; inside a bucket, batches take as many documents as the token budget holds at the bucket's
-boundary. The histogram has one row for each padded length, so its size depends on the longest document and
-`multiple`, not on the number of documents.
+boundary. The histogram has one row for each padded length up to the budget, so its size depends on `budget` and
+`multiple`, not on the documents.
 """
 
 from __future__ import annotations
@@ -69,34 +69,35 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65536, multiple: int = 8, chunk: int = 4096) -> DataFrame:
-    """One row a row of docs: doc_id, n_tokens, bucket, boundary (padded length), batch_id, slot, padding (longs).
+def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65536, multiple: int = 8, chunk: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a row of docs: doc_id, n_tokens, bucket, boundary (padded length), batch_id, slot, padding (longs), and the
+    columns of docs that `carry` names.
 
     n_tokens: `length`, by default byte_length(); it is rounded up to `multiple` first, the rounding counting as
-    padding. A batch is the documents of one bucket with one batch_id; it holds at most max(1, budget // boundary)
-    of them, so a document longer than the budget is a batch for itself, whole. A bucket is dealt out by a hash of
-    doc_id into chunks of about `chunk` documents; batches form inside a chunk by doc_id, so no bucket is gathered in one
-    task, at the price of one unfilled batch a chunk. Rows that repeat a doc_id are told apart by length, and rows
-    with the same doc_id and length are alike. Null doc_ids are packed as well; no rows give no rows.
+    padding. A batch is the documents of one bucket with one batch_id; it holds at most budget // boundary of them. A
+    document longer than the budget is a batch for itself, whole, padded to the multiple alone, in a bucket after the others;
+    the histogram that the driver gets has one row for each padded length up to the budget, whatever the data.
+
+    A bucket is dealt out into chunks of about `chunk` documents by a hash of doc_id, length and the row's place in the
+    table, so rows that repeat a doc_id, or have none, fill as many chunks as others; batches form inside a chunk, by doc_id,
+    at the price of one unfilled batch a chunk. docs must be read in a stable order, as a table is; laid out anew, it is
+    packed anew. A null text is one end token. No rows give no rows.
     """
     n = byte_length() if length is None else length.cast("long")
-    # A repeated doc_id would put all its rows in one chunk, so the row's place in its file takes part as well.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).cast("long").alias("n_tokens"), *(F.col(f"`{c}`") for c in carry))
     rows = rows.withColumn("padded", F.expr(f"cast((n_tokens + {multiple - 1}) div {multiple} * {multiple} as long)"))
-    histogram = {r["padded"]: r["n"] for r in rows.groupBy("padded").agg(F.count("*").alias("n")).toLocalIterator()}
+    sums = rows.groupBy(F.when(F.col("padded") <= budget, F.col("padded")).otherwise(0).alias("padded")).agg(F.count("*").alias("n"))
+    histogram = {r["padded"]: r["n"] for r in sums.toLocalIterator()}
+    long = histogram.pop(0, 0)
     edges = optimal_boundaries(histogram, buckets)
-    filled = [0] * len(edges)
+    filled = [0] * len(edges) + [long]
     for x, m in histogram.items():
         filled[bisect_left(edges, x)] += m
-    chunks = [max(1, -(-m // chunk)) for m in filled]
-    if not edges:
-        edges, chunks = [multiple], [1]
-    ends = F.array(*(F.lit(x).cast("long") for x in edges))
-    rows = rows.withColumn("bucket", F.expr("cast(0 as bigint)") + sum((F.when(F.col("padded") > x, 1).otherwise(0) for x in edges[:-1]), F.lit(0)))
-    rows = rows.withColumn("boundary", F.element_at(ends, (F.col("bucket") + 1).cast("int")))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n_tokens"), F.element_at(F.array(*(F.lit(x).cast("long") for x in chunks)), (F.col("bucket") + 1).cast("int"))))
+    chunks = F.array(*(F.lit(max(1, -(-m // chunk))).cast("long") for m in filled))
+    rows = rows.withColumn("bucket", sum((F.when(F.col("padded") > x, 1).otherwise(0) for x in edges), F.lit(0)).cast("long"))
+    rows = rows.withColumn("boundary", F.coalesce(F.get(F.array(*(F.lit(x).cast("long") for x in edges)).cast("array<bigint>"), F.col("bucket").cast("int")), F.col("padded")))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.get(chunks, F.col("bucket").cast("int"))))
     place = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - 1
-    room = F.greatest(F.lit(1), F.expr(f"{budget} div boundary"))
-    rows = rows.withColumn("place", place.cast("long"))
-    return rows.select("doc_id", "n_tokens", "bucket", "boundary", F.concat_ws("-", "bucket", "chunk", F.expr("place div greatest(1, {} div boundary)".format(budget))).alias("batch_id"),
-        (F.col("place") % room).cast("long").alias("slot"), (F.col("boundary") - F.col("n_tokens")).alias("padding"))
+    rows = rows.withColumn("place", place.cast("long")).withColumn("room", F.expr(f"greatest(1L, {budget} div boundary)"))
+    return rows.select("doc_id", "n_tokens", "bucket", "boundary", F.concat_ws("-", "bucket", "chunk", F.expr("place div room")).alias("batch_id"),
+        (F.col("place") % F.col("room")).cast("long").alias("slot"), (F.col("boundary") - F.col("n_tokens")).alias("padding"), *(F.col(f"`{c}`") for c in carry))

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planning import kept_apart
+from .store import fresh
 
 #: Characters that separate words, as a class of regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -52,29 +54,32 @@ def mask(rules: tuple[str, ...]) -> int:
 
 def measure(docs: DataFrame) -> DataFrame:
     """docs with its measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words
-    (all long). Columns of docs with such names are replaced; a null or empty text measures 0 throughout.
+    (all long). Columns of docs with such names are replaced, any others stay as they are, whatever their names; a null or
+    empty text measures 0 throughout. Rows are measured one by one, so null and repeated doc_ids are nothing special; an
+    empty table gives no rows. A text of any length is measured whole, with some 100 bytes for each of its words in a task.
 
     A word is a run of characters other than 0x20 and 0x09-0x0D. Windows of five words are compared by 64-bit
     hashes within one document; each stage's input is named once or more than once in the next, so that Catalyst
     keeps them apart and nothing is computed twice.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
-    base = docs.select(*(F.col(c) for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    keep = [f"`{c}`" for c in docs.columns if c.lower() not in MEASURES]
+    t, lines, words, w, s, at = fresh([*docs.columns, *MEASURES], "t", "lines", "words", "w", "s", "at")
+    base = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t))
     base = base.select(*keep,
-        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-        F.filter(F.split("_t", SPACE + "+"), lambda x: x != "").alias("_words"))
-    base = base.select(*keep, F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), "n_symbols",
-        F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_words", lambda x: F.xxhash64(x)).alias("_w"))
-    base = base.select(*keep, "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.size("_w").cast("long").alias("n_words"),
-        F.expr(f"""case when size(_w) <= {WINDOW} then cast(array() as array<bigint>) else
-            transform(sequence(0, size(_w) - {WINDOW}), i -> xxhash64({', '.join(f'_w[i + {j}]' for j in range(WINDOW))})) end""").alias("_s"))
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines),
+        F.filter(F.split(t, SPACE + "+"), lambda x: x != "").alias(words))
+    base = base.select(*keep, F.length(F.array_join(words, "")).cast("long").alias("word_chars"), "n_symbols",
+        F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.transform(words, lambda x: F.xxhash64(x)).alias(w))
+    base = base.select(*keep, "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.size(w).cast("long").alias("n_words"),
+        F.expr(f"""case when size({w}) <= {WINDOW} then cast(array() as array<bigint>) else
+            transform(sequence(0, size({w}) - {WINDOW}), i -> xxhash64({', '.join(f'{w}[i + {j}]' for j in range(WINDOW))})) end""").alias(s))
     # Positions of windows found twice or more, ascending; then the words that they cover.
-    base = base.withColumn("_at", F.expr("""case when size(_s) = size(array_distinct(_s)) then null else
-        sort_array(flatten(transform(array(sort_array(transform(_s, (x, i) -> struct(x, i)))), o ->
+    base = base.withColumn(at, F.expr(f"""case when size({s}) = size(array_distinct({s})) then null else
+        sort_array(flatten(transform(array(sort_array(transform({s}, (x, i) -> struct(x, i)))), o ->
             transform(filter(sequence(0, size(o) - 1), j -> (j > 0 and o[j].x = o[j - 1].x) or (j < size(o) - 1 and o[j].x = o[j + 1].x)), j -> o[j].i)))) end"""))
-    covered = F.expr(f"""case when _at is null then 0 else aggregate(_at, struct(cast(0 as bigint) as n, -{WINDOW} as last),
+    covered = F.expr(f"""case when {at} is null then 0 else aggregate({at}, struct(cast(0 as bigint) as n, -{WINDOW} as last),
         (a, p) -> struct(a.n + least({WINDOW}, p - a.last) as n, p as last), a -> a.n) end""")
     return base.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
@@ -92,7 +97,7 @@ def apply_policy(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
-    """For each rule of a policy: failed (documents that fail it), only (those it alone rejects, so what dropping
+    """For each rule of a policy: rule, failed (documents that fail it), only (those it alone rejects, so what dropping
     the rule brings back), kept_without. Documents are first summed by distinct bits: at most 2**rules rows."""
     m = mask(POLICIES[policy])
     sums = book.groupBy(F.col("fail_bits").bitwiseAND(m).alias("bits")).agg(F.count("*").alias("n"))

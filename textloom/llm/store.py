@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _scopes: list[list[str]] = []
@@ -95,3 +95,18 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
         seen.add(name.lower())
         out.append(name)
     return out
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one, out of the way of others."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
+def among(docs: DataFrame, ids: DataFrame, on: str = "doc_id", bits: int = 26) -> DataFrame:
+    """Rows of docs whose key `on` may be in ids, and all whose key is: those whose hash is marked in 2^bits bits, which
+    are broadcast whatever the number of ids. More ids than that cost rows that a join drops later."""
+    at = f"pmod(xxhash64({on}), {1 << bits}L)"
+    marks = ids.groupBy(F.expr(f"{at} div 32768").alias("bucket")).agg(F.expr(f"bitmap_construct_agg({at} % 32768)").alias("marks"))
+    byte = f"cast(conv(hex(substring(marks, cast({at} % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = f"{at} div 32768 = bucket and getbit({byte}, cast({at} % 8 as int)) = 1"
+    return docs.join(F.broadcast(marks), F.expr(marked), "left_semi")

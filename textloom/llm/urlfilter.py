@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import settle
+from .store import kept, scratch, settle
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     """One row a row of pages (page_id, url, html): page_id, host, path, rule, verdict, by_alias.
 
     redirects: further edges (a, b) of URLs, as a crawl logs them. A null or malformed url has no rule and no alias
-    and is allowed; a null html has no links. Repeated rows are judged alike; other columns are ignored. by_alias: the
+    and is allowed; a null html has no links. Urls and html of any length are read whole; an empty table gives no rows. Repeated rows are judged alike; other columns are ignored. by_alias: the
     verdict is that of the url's class. The classes are found on the edges alone, and only their members are joined.
     """
     host, path = host_and_path(F.col("url"))
@@ -154,10 +154,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).where("a is not null and b is not null and a != b"))
-    edges = settle(edges.distinct(), "aliases")
     own = own.withColumn("own", verdict_of(F.col("rule"), rules))
-    if edges.isEmpty():
-        return own.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(False).alias("by_alias"))
+    with scratch(pages.sparkSession):
+        edges = settle(edges.distinct(), "aliases")
+        if edges.isEmpty():
+            return own.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(False).alias("by_alias"))
+        return kept(_by_class(own, edges, rules), "verdicts")
+
+
+def _by_class(own: DataFrame, edges: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     roots = settle(connected_components(edges), "classes")
     h, p = host_and_path(F.col("node"))
     decided = roots.withColumn("v", verdict_of(rule_for(h, p, rules), rules)).groupBy("root").agg(F.max(F.expr("v = 'allow'")).alias("allowed"), F.max(F.expr("v = 'block'")).alias("blocked"))
