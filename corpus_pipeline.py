@@ -2,47 +2,47 @@
 
 Each stage is a function of (spark, docs, sf_dir) that works on all that the stage before it kept; `run` writes its
 result as Parquet into the shared folder and reads it again as the next stage's docs. All but the last return the
-columns of `documents`.
+columns of `documents`, as they were, whatever further columns there are. Every row is judged by itself: null and repeated
+doc_ids are rows like others unless a stage says otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import langid, ngram_join, packing, quality
 from textloom.llm.queries import PIECES, tokenizer_path
-from textloom.llm.store import settle
+from textloom.llm.store import drop, kept, scratch, whole
 
 #: A document is kept if its language was told with at least this posterior probability.
 SURE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy v1 keeps."""
-    return quality.apply_policy(quality.ledger(docs), "v1").where("kept").select(*docs.columns)
+    """Rows that policy v1 keeps. A null or empty text has too few words and goes; texts are measured whole; an empty table
+    stays empty. docs' columns are carried as one, so that none meets a measurement's name."""
+    rows = docs.select(whole(docs).alias("row"), "text")
+    return quality.apply_policy(quality.ledger(rows), "v1").where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a learned language, told surely; `lang` stays as it was. Rows of one doc_id are kept or go
-    together if any of them is told."""
+    """Rows with a learned language, told surely; `lang` stays as it was. Texts without a letter go. Where no row has a label
+    nothing can be learned, and every row goes; an empty table stays empty."""
     model = langid.fit(docs, tokenizer_path(PIECES))
-    told = langid.predict(docs, model).where(f"lang_pred != 'und' and score >= {SURE}").select(F.col("doc_id").alias("at")).distinct()
-    return docs.join(told, docs["doc_id"].eqNullSafe(told["at"]), "left_semi").select(*docs.columns)
+    told, lang, score = langid.judged(docs, model)
+    return told.where(f"{lang} != 'und' and {score} >= {SURE}").select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with similar shingle sets, the one with the least doc_id; repeated rows once.
-    Rows without doc_id have no component and stay."""
-    found = ngram_join.ngram_components(docs, k=5, percent=80)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("at")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["at"], "left_semi").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """Of each component of rows with similar shingle sets, the one with the least doc_id; repeated rows once. Rows without
+    doc_id have no component and stay, as do rows without words, once each."""
+    return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in token-budget batches of optimal length buckets."""
-    return packing.pack(docs)
+    """Texts in token-budget batches of optimal length buckets. Rows that repeat a doc_id, or have none, are packed like others; an
+    empty table gives no rows; a text longer than the budget is a batch for itself."""
+    return packing.pack(docs, carry=("text",))
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("n-gram Jaccard join", near_duplicates), ("packing", length_buckets)]
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with scratch(spark):
+            docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if last is not None:
+            drop(last)
+        last = docs
     return docs
