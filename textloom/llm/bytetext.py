@@ -6,11 +6,14 @@ character, so byte runs equal the character runs of ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 U64 = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -31,6 +34,19 @@ _MIXERS = mix64(np.arange(1001, 1017, dtype=U64)) | U64(1)
 _TAILS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
+def lean(run: Run) -> Run:
+    """run, after which a worker that waits for its next task gives the memory back that the allocators hold."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its len+1 offsets into them; null counts as empty."""
     if column.null_count:

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import lattice
-from .bytetext import distinct_spans, gather, slices
-from .store import drop, fresh, settle
+from .bytetext import distinct_spans, gather, lean, slices
+from .store import drop, fresh, settle, small_batches
 
 #: A character without a piece has this log probability in every language.
 BARE = -16.0
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, path: str, sample: int = 2000, rounds: int = 3, smoothi
     probability = np.full((width, len(languages)), 1.0 / width)
     for _ in range(rounds):
         expected = np.zeros((width, len(languages)))
-        found = drawn.mapInArrow(_counting(path, probability), "piece int, lang int, n bigint").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        found = drawn.mapInArrow(lean(_counting(path, probability)), "piece int, lang int, n bigint").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         expected[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy() / UNITY
         expected[-1] = 0
         probability = (expected + smoothing) / (expected + smoothing).sum(0)
@@ -202,6 +202,7 @@ class Scorer:
 def judged(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
     """docs with two more columns, and their names: lang_pred and score as in `predict`, under names that docs does not
     have. No row moves: each is told where it lies."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lang, sure = fresh(docs.columns, "lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(sure, T.DoubleType())])
@@ -226,7 +227,7 @@ def judged(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
                     found = np.where(ok, 1.0 / np.exp(sums).sum(1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(found)], names=[*part.schema.names, lang, sure])
 
-    return docs.mapInArrow(run, schema), lang, sure
+    return docs.mapInArrow(lean(run), schema), lang, sure
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

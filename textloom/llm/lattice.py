@@ -20,10 +20,11 @@ RESCALE = 64
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """children: node * 256 + byte -> node or 0; piece: node -> piece id or -1; texts and lengths: by piece id; alone: bytes
-    that stand in no piece of several bytes; depth: bytes of the longest piece."""
+    """children: node * 256 + byte -> node or 0, for the first `inner` nodes, which have any; piece: node -> piece id or -1;
+    texts: by piece id; alone: bytes that stand in no piece of several bytes; depth: bytes of the longest piece."""
 
     children: np.ndarray
+    inner: int
     piece: np.ndarray
     texts: tuple[bytes, ...]
     byte_piece: np.ndarray
@@ -65,13 +66,19 @@ def load(path: str) -> Vocabulary:
         depth = max(depth, len(raw))
         if len(raw) > 1:
             alone[list(raw)] = False
-    children = np.zeros((len(nodes) + 1) * 256, np.int32)
+    # Nodes with children come first, so that the others need no room for them.
+    parents = sorted({at for at, _ in nodes} | {0})
+    number = np.zeros(len(nodes) + 1, np.int64)
+    number[parents] = np.arange(len(parents))
+    rest = np.setdiff1d(np.arange(len(nodes) + 1), parents)
+    number[rest] = len(parents) + np.arange(len(rest))
+    children = np.zeros(len(parents) * 256, np.uint16 if len(nodes) < 65535 else np.uint32)
     for (at, b), to in nodes.items():
-        children[at * 256 + b] = to
+        children[number[at] * 256 + b] = number[to]
     piece = np.full(len(nodes) + 1, -1, np.int32)
     for at, i in ends.items():
-        piece[at] = i
-    return Vocabulary(children, piece, tuple(texts), byte_piece, alone, depth)
+        piece[number[at]] = i
+    return Vocabulary(children, len(parents), piece, tuple(texts), byte_piece, alone, depth)
 
 
 def units(vocabulary: Vocabulary, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +134,7 @@ def build(vocabulary: Vocabulary, raw: np.ndarray, sizes: np.ndarray) -> Lattice
         hit = found >= 0
         sources.append(active[hit]), targets.append(where[hit]), pieces.append(found[hit])
         single[active[hit][where[hit] == after[active[hit]]]] = True
-        keep = where < stop[active]
+        keep = (where < stop[active]) & (node < vocabulary.inner)
         node, where, active = node[keep], where[keep], active[keep]
         if not len(active):
             break

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bytetext import lean
 from .store import kept, scratch, settle
 
 
@@ -297,7 +298,7 @@ def _search(vectors: DataFrame, divisor: int, k: int, options: Options) -> DataF
         return run
 
     posting = "list int, vec_id bigint, embedding array<double>"
-    lists = settle(rows.mapInArrow(assign(False), posting), "lists")
+    lists = settle(rows.mapInArrow(lean(assign(False)), posting), "lists")
     sizes = settle(lists.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.block}) as int)").alias("blocks")), "sizes")
     queries = settle(rows.where(f"vec_id % {divisor} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
 
@@ -311,7 +312,7 @@ def _search(vectors: DataFrame, divisor: int, k: int, options: Options) -> DataF
             right.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("q_block").alias("q"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding")).groupBy("l", "b", "q"))
         return met.applyInArrow(lambda a, b: _best(a, b, k), "query_id bigint, vec_id bigint, score double")
 
-    asked = settle(queries.mapInArrow(assign(True), posting), "asked")
+    asked = settle(queries.mapInArrow(lean(assign(True)), posting), "asked")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
     def best_of(found: DataFrame) -> DataFrame:

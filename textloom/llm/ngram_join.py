@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U64, mix64, shingle_sets, slices
+from .bytetext import U64, lean, mix64, shingle_sets, slices
 from .components import connected_components
-from .store import among, drop, fresh, kept, scratch, settle, text_bytes, whole
+from .store import among, drop, fresh, kept, scratch, settle, small_batches, text_bytes, whole
 
 #: Bits of a shingle's hash that are counted.
 COUNTED_BITS = 48
@@ -138,9 +138,9 @@ def frequency_levels(docs: DataFrame, k: int, table_bits: int, range_bytes: int
         np.maximum.at(slice_, ((values >> U64(COUNTED_BITS - table_bits)) & U64(len(slice_) - 1)).astype(np.int64), levels)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([pa.compress(slice_.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(send, _SENT)
+    sent = docs.select("text").mapInArrow(lean(send), _SENT)
     if range_bits > first_bits:
-        sent = sent.repartition("part").sortWithinPartitions("part").mapInArrow(again, _SENT)
+        sent = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lean(again), _SENT)
     out = np.zeros(1 << table_bits, np.uint8)
     width = 1 << (table_bits - range_bits)
     for row in sent.groupBy("part").applyInArrow(level, "part int, levels binary").toLocalIterator():
@@ -183,7 +183,7 @@ def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int,
                     tokens.append(s[first][of[first] > 0].tobytes() if shareable[-1] >= need else None)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "th": part.column("th"), "n": pa.array(n, pa.int64()), "shareable": pa.array(shareable, pa.int64()), "node": pa.array(node, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(scan, "doc_id bigint, th bigint, n bigint, shareable bigint, node binary, prefix binary, tokens binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(lean(scan), "doc_id bigint, th bigint, n bigint, shareable bigint, node binary, prefix binary, tokens binary")
 
 
 def _explode_tokens(rows: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _explode_tokens(rows: DataFrame) -> DataFrame:
                 place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), part.column("gid").take(at), part.column("n").take(at), part.column("v").take(at), pa.array(place)], names=["token", "gid", "n", "v", "i"])
 
-    return rows.select("gid", "n", "v", "tokens").mapInArrow(explode, "token bigint, gid binary, n bigint, v bigint, i bigint")
+    return rows.select("gid", "n", "v", "tokens").mapInArrow(lean(explode), "token bigint, gid binary, n bigint, v bigint, i bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
@@ -242,6 +242,7 @@ def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits:
     """The rows of `document_prefixes`, and the classes: node, n, rep, comp (the class's component)."""
     if table_bits is None:
         table_bits = min(MOST_TABLE_BITS, max(16, (text_bytes(docs) // 16).bit_length()))
+    small_batches(docs.sparkSession)
     levels = frequency_levels(docs, k, table_bits)
     rows = settle(document_prefixes(docs, levels, k, percent, common), "prefixes")
     classes = settle(rows.where("node is not null and doc_id is not null").groupBy("node", "n", "shareable", "prefix").agg(F.min("doc_id").alias("rep")), "classes")

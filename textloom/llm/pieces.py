@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lattice
-from .bytetext import U64, gather, mix64, slices
+from .bytetext import U64, gather, lean, mix64, slices
 from .langid import distinct_units
+from .store import small_batches
 
 #: Log weight of a character without a piece.
 BARE = -20.0
@@ -125,7 +126,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                                                  names=["key", "n_pieces", "ids_crc32", "lossless", "piece_ids"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "key bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean, piece_ids array<int>")
+    small_batches(docs.sparkSession)
+    out = rows.mapInArrow(lean(run), "key bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean, piece_ids array<int>")
     return out.select(F.col("key").alias(key), "n_pieces", "ids_crc32", "lossless", *(["piece_ids"] if ids else []))
 
 

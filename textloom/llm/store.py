@@ -78,6 +78,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
             _scopes.append(own)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Has Spark hand texts to Python in batches bounded by their bytes, unless the application sets a bound of its own: ten
+    thousand long texts at a time, on both sides, are most of what a task holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, most)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, for parts of a bounded size: Catalyst's estimate, from the sizes of files, where it has one; else
     (it then says some exabytes) they are summed."""

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import repair
-from .bytetext import distinct_spans, folded, gather, slices, word_spans
-from .store import text_bytes
+from .bytetext import distinct_spans, folded, gather, lean, slices, word_spans
+from .store import small_batches, text_bytes
 
 SHARD_SCHEMA = "part int, seq int, doc_ids array<bigint>, n_ids bigint, payload binary"
 #: ASCII letters; the bytes of Latin-1 letters after C3; ASCII marks without the apostrophe, which starts tokens of its own.
@@ -194,7 +194,8 @@ def encode_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: i
         if doc_ids:
             yield shard()
 
-    return ordered.mapInArrow(write, SHARD_SCHEMA)
+    small_batches(docs.sparkSession)
+    return ordered.mapInArrow(lean(write), SHARD_SCHEMA)
 
 
 #: Parts whose totals one task sums.
@@ -229,7 +230,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(first.tolist(), shard.ends.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(first + batch.column("before")[i].as_py()), pa.array(shard.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _placed(shards).select("doc_ids", "payload", "before").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return _placed(shards).select("doc_ids", "payload", "before").mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_some(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
