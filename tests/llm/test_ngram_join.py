@@ -109,6 +109,33 @@ def test_links_equal_brute_force(spark):
     assert ngram_join.ngram_links(df.limit(0), table_bits=10).collect() == []
 
 
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    """With lists of any length counted as long, all groups that a pivot does not join go through clusters."""
+    classified = ngram_join._classified
+    for heavy, seed, k, percent in ((0, 5, 4, 85), (3, 6, 2, 60)):
+        monkeypatch.setattr(ngram_join, "_classified", lambda *a, h=heavy, **b: classified(*a, **b | {"heavy": h, "side": 7}))
+        rows = near_copies(seed, groups=4, size=30)
+        assert result(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k, percent, table_bits=12, block=8)) == brute(rows, k, percent)
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        linked = rng.random((rng.integers(1, 12), rng.integers(1, 12))) < 0.2
+        rows, columns = ngram_join._forest(linked)
+        want = {}
+        for i in range(len(linked)):
+            seen, todo = {i}, [i]
+            while todo:
+                x = todo.pop()
+                new = {y for j in np.flatnonzero(linked[x]) for y in np.flatnonzero(linked[:, j]).tolist()} - seen
+                seen |= new
+                todo += new
+            want[i] = min(seen)
+        assert rows.tolist() == [want[i] for i in range(len(linked))]
+        assert columns.tolist() == [want[int(np.flatnonzero(c)[0])] if c.any() else len(linked) for c in linked.T]
+
+
 def test_ranges_are_cut_in_two_steps(spark):
     df = spark.createDataFrame(near_copies(3, groups=3, size=12), "doc_id bigint, text string")
     one = ngram_join.frequency_levels(df, 4, 16)

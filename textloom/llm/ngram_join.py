@@ -17,9 +17,11 @@ Every step is exact whatever the data; what follows only decides how much work i
    and verified on full sets.
 4. *Large groups of copies.* For components no group's pairs are listed while they can be avoided. First each class is
    verified against one pivot (the group's, or that of the prefix shingles it shares most): a number of pairs that
-   grows with the rows. The links give components. Then the pairs whose ends are still in
-   different components are listed, against the fewer side of each shingle's list, and verified: nothing is lost,
-   since a pair inside a component cannot change it.
+   grows with the rows. The links give components. What can still link are groups in different components. Where a
+   shingle's list holds at most HEAVY groups of a size, its pairs are listed, against the fewer side, and verified. Groups
+   that meet in longer lists (near copies that differ by almost as much as they may) are put into clusters, and each
+   cluster's classes are compared in blocks, as for links, which yield a spanning forest each and no pairs. Nothing is
+   lost, since a pair inside a component cannot change it.
 5. *Verification* sends the text of each document to the pivot's blocks (at most `block` partners for each), so no
    key, however frequent, is gathered in one task.
 6. *Links.* All links lie inside components, whose classes are compared in blocks by set size; see `_links`. The work
@@ -46,6 +48,8 @@ FLUSH = 1_000_000
 #: Bytes of text whose shingles make a range of hashes, and bits of ranges that are cut in one step.
 RANGE_BYTES = 8 << 20
 HOP_BITS = 12
+#: Groups of one size in a shingle's list up to which their pairs are listed; HEAVY * HEAVY pairs of classes of two groups.
+HEAVY = 64
 #: The table of levels is at most so large, whatever the corpus.
 MOST_TABLE_BITS = 25
 
@@ -238,7 +242,7 @@ def _cell(percent: int) -> str:
     return f"cast(floor(ln(n) / (1.0001D * ln(100D / {percent}))) as int)" if percent < 100 else "cast(2 * n as int)"
 
 
-def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits: int | None, block: int) -> tuple[DataFrame, DataFrame]:
+def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits: int | None, block: int, side: int = 256, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """The rows of `document_prefixes`, and the classes: node, n, rep, comp (the class's component)."""
     if table_bits is None:
         table_bits = min(MOST_TABLE_BITS, max(16, (text_bytes(docs) // 16).bit_length()))
@@ -274,28 +278,39 @@ def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits:
 
     # What is left: pairs of groups whose ends are in different components.
     now = settle(labelled(links), "components")
-    state = now.groupBy("prefix").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed")).withColumnRenamed("prefix", "gid")
+    state = now.groupBy("prefix").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"), F.count("*").alias("members")).withColumnRenamed("prefix", "gid")
     lists = postings.select("token", "gid", "n", "v", "i").join(state, "gid")
     counts = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"))
     lists_of = counts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.max("mixed").alias("any")).where("comps > 1 or any").select("token", F.col("major.comp").alias("major"))
     lists = settle(lists.join(settle(lists_of, "list-heads"), "token").withColumn("cell", F.expr(_cell(percent))), "lists")
     drop(postings)
     # Only sizes that can link meet, so a frequent shingle's list is not compared as a whole.
-    left = lists.where("comp != major or mixed").selectExpr("token", "explode(sequence(cell - 1, cell + 1)) as cell", "gid as g1", "n as n1", "v as v1", "i as i1", "comp as c1", "mixed as m1")
-    right = lists.selectExpr("token", "cell", "gid as g2", "n as n2", "v as v2", "i as i2", "comp as c2", "mixed as m2", "comp = major and not mixed as big")
+    near = "explode(sequence(cell - 1, cell + 1)) as cell"
+    long = settle(lists.groupBy("token", "cell").agg(F.count("*").alias("c")).where(F.col("c") > heavy).select("token", "cell"), "long-lists")
+    left = lists.where("comp != major or mixed").selectExpr("token", near, "gid as g1", "n as n1", "v as v1", "i as i1", "comp as c1", "mixed as m1", "members as k1")
+    right = lists.join(long, ["token", "cell"], "left_anti").selectExpr("token", "cell", "gid as g2", "n as n2", "v as v2", "i as i2", "comp as c2", "mixed as m2", "members as k2", "comp = major and not mixed as big")
     # The first shingle that two linked sets share stands among the first n - least_shared + 1 of each; the n - v
     # that no other document holds come before all others.
     early = f"i1 <= v1 - {least_shared} and i2 <= v2 - {least_shared}"
     met = left.join(right, ["token", "cell"]).where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {early}")
-    met = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
-    met = met.union(state.where("mixed").selectExpr("gid as g1", "gid as g2"))
+    met = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("k1 * k2").alias("k")).distinct()
+    met = settle(met.union(state.where("mixed").selectExpr("gid as g1", "gid as g2", "members * members as k")), "met")
+    # Groups of long lists, and those with too many classes to list their pairs.
+    hub = lambda *x: F.encode(F.concat_ws("/", *x), "UTF-8").alias("b")
+    through = lists.selectExpr("gid", "token", near).join(long, ["token", "cell"]).select(F.col("gid").alias("a"), hub("token", "cell"))
+    wide = met.where(f"k > {heavy * heavy}")
+    edges = settle(through.union(wide.where("g1 != g2").selectExpr("g1 as a", "g2 as b")).union(wide.where("g1 = g2").select(F.col("g1").alias("a"), hub(F.hex("g1")))).distinct(), "meeting")
+    forest = None
+    if not edges.isEmpty():
+        clusters = connected_components(edges).select(F.col("node").alias("prefix"), F.col("root").alias("comp"))
+        forest = settle(_links(docs, now.drop("comp").join(clusters, "prefix"), k, percent, side, "forest"), "forest")
+    met = met.where(f"k <= {heavy * heavy}").select("g1", "g2")
     one, other = (now.selectExpr(f"prefix as g{i}", f"node as {x}", f"rep as {x}_id", f"comp as {x}_comp") for i, x in ((1, "a"), (2, "b")))
     rest = met.join(one, "g1").join(other, "g2").where("a_comp != b_comp and (g1 != g2 or a < b)").select("a", "a_id", "b", "b_id").distinct()
     rest = settle(rest, "pairs")
-    if not rest.isEmpty():
-        ends = now.select("node", "comp").where("node != comp").selectExpr("node as a", "comp as b")
-        links = settle(ends.union(verified(rest, docs, k, percent, block)), "links")
-        now = labelled(links)
+    if forest is not None or not rest.isEmpty():
+        links = now.select("node", "comp").where("node != comp").selectExpr("node as a", "comp as b").union(verified(rest, docs, k, percent, block))
+        now = labelled(settle(links if forest is None else links.union(forest), "links"))
     return rows, now
 
 
@@ -372,14 +387,27 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _links(docs: DataFrame, now: DataFrame, k: int, percent: int, side: int, counted: bool) -> DataFrame:
-    """All links between classes: node and n_links where `counted` (a row for each block that has links), else a and b.
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a table of links the least row that links lead to; the number of rows where there is none."""
+    n = len(linked)
+    rows = np.arange(n)
+    while True:
+        columns = np.where(linked, rows[:, None], n).min(0, initial=n)
+        low = np.minimum(rows, np.where(linked, columns, n).min(1, initial=n))
+        if (low == rows).all():
+            return rows, columns
+        rows = low
+
+
+def _links(docs: DataFrame, now: DataFrame, k: int, percent: int, side: int, what: str) -> DataFrame:
+    """All links between classes. what: `count` for node and n_links (a row for each block that has links), `pairs` for a and b
+    by rep, `forest` for a and b by node, which connect what links connect, but are not all of them, nor always links.
 
     Links stay inside components, so each component's classes are compared with each other: they are cut by set size into
     cells, so that linked sizes are in one cell or in two next to each other, and a cell by hash into parts of about `side`
     classes and a million shingles. Each pair of parts is one unit of work; a text is sent once to each unit of its part.
     """
-    schema = "node binary, n_links bigint" if counted else "a bigint, b bigint"
+    schema = {"count": "node binary, n_links bigint", "pairs": "a bigint, b bigint", "forest": "a binary, b binary"}[what]
     if percent == 100:  # different sets cannot link
         return docs.sparkSession.createDataFrame([], schema)
     several = now.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
@@ -415,7 +443,12 @@ def _links(docs: DataFrame, now: DataFrame, k: int, percent: int, side: int, cou
             linked = 100 * both >= percent * (n[:, None] + n2 - both)
         if own:
             np.fill_diagonal(linked, False)
-        if counted:
+        if what == "forest":
+            rows, columns = _forest(linked)
+            a = [(nodes[j], x) for x, j in zip(nodes, rows.tolist())] + [(nodes[j], x) for x, j in zip(nodes2, columns.tolist()) if j < len(nodes)]
+            a = [(x, y) for x, y in a if x != y]
+            return pa.table({"a": pa.array([x for x, _ in a], pa.binary()), "b": pa.array([y for _, y in a], pa.binary())})
+        if what == "count":
             counts = linked.sum(1) if own else np.concatenate((linked.sum(1), linked.sum(0)))
             names = nodes if own else nodes + nodes2
             some = np.flatnonzero(counts)
@@ -433,8 +466,8 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3,
     share one class, so they count once and add no link; 0 where there is no set or no doc_id."""
     docs = _plain(docs, percent, common)
     with scratch(docs.sparkSession):
-        rows, now = _classified(docs, k, percent, common, table_bits, block)
-        found = _links(docs, now, k, percent, side, True).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        rows, now = _classified(docs, k, percent, common, table_bits, block, side)
+        found = _links(docs, now, k, percent, side, "count").groupBy("node").agg(F.sum("n_links").alias("n_links"))
         return kept(_named(rows, now.join(found, "node", "left"), "n_links"), "links")
 
 
@@ -443,4 +476,4 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, common: int = 3,
     names two classes); membership is `ngram_components`'s."""
     docs = _plain(docs, percent, common)
     with scratch(docs.sparkSession):
-        return kept(_links(docs, _classified(docs, k, percent, common, table_bits, block)[1], k, percent, side, False), "class-links")
+        return kept(_links(docs, _classified(docs, k, percent, common, table_bits, block, side)[1], k, percent, side, "pairs"), "class-links")
