@@ -41,7 +41,7 @@ def _pairs_of(seq: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.nd
     return pairs[order], n[order]
 
 
-def compress(ids: np.ndarray, width: int, saving: int = 100, most: int = 4096, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, width: int, saving: int = 50, most: int = 4096, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (int64) and rules (n, 2) of an id sequence. Ids are below width; rule k makes symbol width + k. A round
     replaces at most `most` pairs; saving 0: until no pair is left that occurs `least` times."""
     seq, rules = ids.astype(np.int64), []
