@@ -208,3 +208,38 @@ def test_lifecycle_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("life").collect()} == {(1, "p", "pending", 1), (1, "p", "accepted", 2), (2, "r", "pending", 1), (2, "r", "cleared", 2)}
+
+
+def test_accents_beyond_one_alphabet(spark):
+    import unicodedata
+
+    words = ["ãõåč Ǆ", "Việt Nam", "éa", "ÅŞž", "ñandú", "日本"]
+    want = ["".join(c for c in unicodedata.normalize("NFD", w) if not 0x300 <= ord(c) <= 0x36F) for w in words]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(text.strip_accents("w")).collect()] == want
+
+
+def test_text_sink_keeps_breaks(spark, tmp_path):
+    rows = ["a\nb", "a\\nb", "\r\n\\", "", "\\\\n", "plain"]
+    readers.write_text(spark.createDataFrame([(x,) for x in rows], "text string"), str(tmp_path / "t"))
+    assert sorted(r["text"] for r in readers.read_text(spark, str(tmp_path / "t")).collect()) == sorted(rows)
+
+
+def test_labels_fall_back(spark):
+    from textloom.functions import labels
+
+    catalog = spark.createDataFrame([("a.b", "eu", "x"), ("a.b", "es", "y")], "path string, lang string, label string")
+    asked = spark.createDataFrame([("a.b", "es"), ("a.b", "fr"), ("c", "es")], "path string, lang string")
+    assert sorted(r["label"] for r in labels.localized(asked, catalog).collect()) == ["c", "x", "y"]
+
+
+def test_mean_vectors_leave_out_ids_beyond_the_matrix(spark):
+    matrix = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [9.0, 9.0])], "id long, vector array<double>")
+    pieces = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("a", -1), ("b", 2)], "k string, id long")
+    assert [tuple(r) for r in spelling.mean_vectors(pieces, matrix, 2, "k").collect()] == [("a", [2.0, 3.0])]
+
+
+def test_entry_hides_only_the_subpackages_own_absence():
+    import __spark_entry__
+
+    assert "lexicon_build" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +21,21 @@ CAP_PUNCT_TITLES = {"case": "Maiuskula", "other": "Puntuazioa"}
 SPELLING_TITLE = "Ortografia"
 CONTEXT_CHARS = 28
 SEGMENT_LIMIT, SEGMENT_WORDS = 25, 20
-#: Accented letters of the languages at hand and what is left without the accent.
-ACCENTED = "áéíóúüñçàèìòùâêîôûäëïöÁÉÍÓÚÜÑÇÀÈÌÒÙÂÊÎÔÛÄËÏÖ"
-PLAIN = "aeiouuncaeiouaeiouaeioAEIOUUNCAEIOUAEIOUAEIO"
+
+
+def _without_marks() -> tuple[str, str]:
+    """Every character of one code point in its decomposed form without the marks U+0300 to U+036F, where that is one other
+    character; then the marks, which have no counterpart."""
+    found = {}
+    for code in range(0xA0, 0x3000):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if len(bare) == 1 and bare != c:
+            found[c] = bare
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+ACCENTED, PLAIN = _without_marks()
 
 
 def word_pattern(letters: str = LETTERS) -> str:
@@ -147,8 +162,7 @@ def title_from_h1(content: Column | str) -> Column:
 
 def word_stat(content: Column | str) -> Column:
     """Words between white space; 0 for a blank text."""
-    t = js_trim(content)
-    return F.when(t == "", 0).otherwise(word_count(t))
+    return F.regexp_count(_c(content), F.lit(f"[^{SPACES}]+"))
 
 
 def char_stat(content: Column | str) -> Column:
@@ -177,7 +191,7 @@ def strip_tags(html: Column | str) -> Column:
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Without the accents of the letters in ACCENTED."""
+    """Without accents: letters as far as U+2FFF lose their combining marks, as do marks that stand for themselves."""
     return F.translate(_c(text), ACCENTED, PLAIN)
 
 
@@ -227,25 +241,33 @@ def segments(text: Column | str, keep_sentence_space: bool = False) -> Column:
     pieces without text. The pieces of one line are rejoined by a new line, on the last line by nothing, so sentences
     there run together; keep_sentence_space: rejoin sentences by a space instead, and only lines by new lines.
     """
-    lines = F.split(_c(text), "\n", -1)
     nothing = F.array().cast("array<struct<text:string,sep:string>>")
 
-    def of_line(line: Column, i: Column) -> Column:
-        end = F.when(i < F.size(lines) - 1, F.lit("\n")).otherwise(F.lit(""))
-        sentences = F.filter(F.transform(F.split(line, rf"(?<=[.?!])[{SPACES}]+", -1), js_trim), lambda s: s != "")
+    def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+        """f(x), where x is made once, however often f names it."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def of_line(line: Column, i: Column, n: Column) -> Column:
+        end = F.when(i < n - 1, F.lit("\n")).otherwise(F.lit(""))
+
+        def chunks(s: Column, after: Column) -> Column:
+            def cut(ws: Column) -> Column:
+                long = F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / SEGMENT_WORDS).cast("int")), lambda j: F.struct(
+                    F.array_join(F.slice(ws, j * SEGMENT_WORDS + 1, SEGMENT_WORDS), " ").alias("text"),
+                    F.when((j + 1) * SEGMENT_WORDS >= F.size(ws), after).otherwise(F.lit(" ")).alias("sep")))
+                return F.when(F.size(ws) > SEGMENT_LIMIT, long).otherwise(F.array(F.struct(s.alias("text"), after.alias("sep"))))
 
-        def chunks(s: Column, k: Column) -> Column:
-            ws = F.split(s, rf"[{SPACES}]+", -1)
-            after = F.when(k < F.size(sentences) - 1, F.lit(" ")).otherwise(end) if keep_sentence_space else end
-            long = F.transform(F.sequence(F.lit(0), F.expr("1") * F.floor((F.size(ws) - 1) / SEGMENT_WORDS).cast("int")), lambda j: F.struct(
-                F.array_join(F.slice(ws, j * SEGMENT_WORDS + 1, SEGMENT_WORDS), " ").alias("text"),
-                F.when((j + 1) * SEGMENT_WORDS >= F.size(ws), after).otherwise(F.lit(" ")).alias("sep")))
-            return F.when(F.size(ws) > SEGMENT_LIMIT, long).otherwise(F.array(F.struct(s.alias("text"), after.alias("sep"))))
+            return bound(F.split(s, rf"[{SPACES}]+", -1), cut)
+
+        def of_sentences(sentences: Column) -> Column:
+            after = lambda k: F.when(k < F.size(sentences) - 1, F.lit(" ")).otherwise(end) if keep_sentence_space else end
+            return F.coalesce(F.flatten(F.transform(sentences, lambda s, k: chunks(s, after(k)))), nothing)
 
         blank = F.array(F.struct(F.lit("").alias("text"), F.lit("\n").alias("sep")))
-        return F.when(js_trim(line) == "", blank).otherwise(F.coalesce(F.flatten(F.transform(sentences, chunks)), nothing))
+        sentences = F.filter(F.transform(F.split(line, rf"(?<=[.?!])[{SPACES}]+", -1), js_trim), lambda s: s != "")
+        return F.when(~line.rlike(f"[^{SPACES}]"), blank).otherwise(bound(sentences, of_sentences))
 
-    return F.flatten(F.transform(lines, of_line))
+    return bound(F.split(_c(text), "\n", -1), lambda lines: F.flatten(F.transform(lines, lambda line, i: of_line(line, i, F.size(lines)))))
 
 
 def rejoined(parts: Column | str) -> Column:

@@ -72,6 +72,13 @@ def unknown_words(docs: DataFrame, lexicon: DataFrame, letters: str = text.LETTE
     return typed.join(lexicon.select(F.col("word").alias("_known")), F.lower("word") == F.col("_known"), "left_anti")
 
 
+def unknown_vocabulary(docs: DataFrame, lexicon: DataFrame, letters: str = text.LETTERS) -> DataFrame:
+    """typed: the distinct lower-cased tokens worth a look-up that are not in the lexicon. Words are made distinct before
+    anything else is done with them, so what is shuffled is the vocabulary of each task, not the corpus."""
+    typed = checked_words(docs, letters).select(F.lower("word").alias("typed")).distinct()
+    return typed.join(lexicon.select(F.col("word").alias("typed")), "typed", "left_anti")
+
+
 def unknown_spans(docs: DataFrame, lexicon: DataFrame, letters: str = text.LETTERS) -> DataFrame:
     """doc_id, word, start, end of each unknown token worth a look-up."""
     found = tokens(docs, letters)
@@ -126,6 +133,14 @@ def candidate_pool(typed: DataFrame, lexicon: DataFrame, suggestions: DataFrame
     return near.unionByName(offered)
 
 
+def mean_vectors(pieces: DataFrame, matrix: DataFrame, size: int, key: str) -> DataFrame:
+    """key, vector: the mean of the vectors (matrix: id, vector) of a key's pieces (key, id); ids from `size` on have no
+    vector and do not count, and a key without any has no row. Sums are made by key and dimension before the shuffle."""
+    met = pieces.where((F.col("id") >= 0) & (F.col("id") < size)).join(matrix.select("id", "vector"), "id")
+    means = met.select(key, F.posexplode("vector").alias("d", "x")).groupBy(key, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("vector"))
+
+
 def rank_candidates(pool: DataFrame, top: int | None = None) -> DataFrame:
     """typed, cand, ed, freq, score, rank: candidates that the corpus has or that are one edit away, best first; ties go
     to the word that comes first in the alphabet."""

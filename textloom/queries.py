@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import edits, text, vectors
+from .functions import edits, labels, text, vectors
 from .operators import alignment, evaluate, markup, spans, spelling, synth, tagging
 from .plans import analyze
+from .sources import readers
 from .streaming import editing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,8 +122,7 @@ def edits1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _known(spark, sf_dir)
-    typed = spelling.unknown_words(_docs(spark, sf_dir), known).select(F.lower("word").alias("typed")).distinct()
-    return spelling.candidate_pairs(typed, known)
+    return spelling.candidate_pairs(spelling.unknown_vocabulary(_docs(spark, sf_dir), known), known)
 
 
 @query(f"WITH {_PAIRS} SELECT typed, cand, freq, ed FROM pairs")
@@ -486,3 +486,199 @@ def suggestion_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.element_at(F.array(*(F.lit(x) for x in ("add", "accept", "add", "dismiss", "add", "clear"))), (F.col("event_id") * 7 % 6 + 1).cast("int"))
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("s"), F.expr("cast(event_id div 6 % 4 as string)")).alias("sugg_id"))
     return editing.lifecycle(events)
+
+
+# --- Scalars and spans over the documents -----------------------------------------------------------------------------
+@query(f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '({_SP}+|[^{text.SPACES}]+)') AS t FROM documents)")
+def spaced_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", text.spaced_tokens("text").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("digest"))
+
+
+_MODEL_OUT = "regexp_replace(regexp_replace('<s> ' || replace(text, ' the ', '  <unk> ') || '</s><pad>', '</?s>|<pad>|<unk>', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_trim(_MODEL_OUT + f', {chr(39)}{_SP}{{2,}}{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}) AS digest FROM documents")
+def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.concat(F.lit("<s> "), F.replace("text", F.lit(" the "), F.lit("  <unk> ")), F.lit("</s><pad>"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(text.clean_model_output(out)).alias("digest"))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.word_rows(_docs(spark, sf_dir)).select("word").distinct()
+
+
+_VOCABULARY = f"(SELECT DISTINCT x AS word FROM (SELECT unnest({_WORDS}) AS x FROM documents))"
+
+
+@query(f"SELECT word, regexp_replace(lower(word), '[^a-zà-ÿñü]', '', 'g') AS key FROM {_VOCABULARY}")
+def alignment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir).select("word", text.alignment_key("word").alias("key"))
+
+
+@query(f"SELECT word, strip_accents(word) AS plain, strip_accents(word) <> word AS accented, CASE WHEN length(word) > 8 THEN left(word, 5) || '...' ELSE word END AS short FROM {_VOCABULARY}")
+def accents_and_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir).select("word", text.strip_accents("word").alias("plain"), text.has_accent("word").alias("accented"), text.shortened("word", 8).alias("short"))
+
+
+_LETTERS_ONLY = "lower(regexp_replace({}, '[^\\p{{L}}]', '', 'g'))"
+_CHANGED = f"(SELECT word, unnest([upper(word), word || ',', word || 'x', word || ' ' || word, left(word, 1) || ' y']) AS new FROM {_VOCABULARY})"
+
+
+@query(f"""SELECT word, new, word <> new AND {_LETTERS_ONLY.format('word')} = {_LETTERS_ONLY.format('new')} AND length({_LETTERS_ONLY.format('new')}) > 0 AS case_punct,
+    CASE WHEN len(regexp_split_to_array(new, '{_SP}+')) > 1 THEN 'Hitza gehitu' WHEN lower(new) = lower(word) THEN 'Maiuskula' ELSE 'Gramatika' END AS grammar,
+    CASE WHEN lower(new) = lower(word) THEN 'Maiuskula' ELSE 'Puntuazioa' END AS cappunct FROM {_CHANGED}""")
+def change_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = F.explode(F.array(F.upper("word"), F.concat("word", F.lit(",")), F.concat("word", F.lit("x")), F.concat("word", F.lit(" "), "word"), F.concat(F.left("word", F.lit(1)), F.lit(" y"))))
+    rows = _vocabulary(spark, sf_dir).select("word", new.alias("new"))
+    return rows.select("word", "new", text.is_case_punct_only("word", "new").alias("case_punct"), text.grammar_title("word", "new").alias("grammar"), text.cap_punct_title("word", "new").alias("cappunct"))
+
+
+@query(f"""WITH {_LEX}, w AS (SELECT word, lower(word) AS low FROM {_VOCABULARY})
+SELECT word, low IN (SELECT word FROM known) OR (length(word) % 2 = 0 AND (length(word) % 3 = 0 OR length(word) % 4 = 0 OR length(word) % 5 = 0)) AS valid FROM w""")
+def word_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another engine is asked about words of even length: it fails, accepts, or offers the word itself, by length."""
+    words, n = _vocabulary(spark, sf_dir), F.length("word")
+    said = words.where(n % 2 == 0).select("word", F.when(n % 3 == 0, F.lit(None)).otherwise(n % 4 == 0).alias("accepted"), F.when(n % 5 == 0, F.upper("word")).otherwise("?").alias("suggestion"))
+    return spelling.validity(words, _known(spark, sf_dir), said).select("word", "valid")
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, f AS \"from\", t AS \"to\", category FROM sp WHERE status = 'pending' AND category = 'spelling'")
+def pending_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.pending(_rule_spans(spark, sf_dir), "spelling").select("doc_id", "from", "to", "category")
+
+
+@query(f"""WITH {_tokens_sql('documents', 'doc_id')}, c AS (SELECT doc_id, pos, s, word, unnest([upper(word), word || '.']) AS new FROM tok)
+SELECT doc_id, pos, new FROM c WHERE word <> new AND {_LETTERS_ONLY.format('word')} = {_LETTERS_ONLY.format('new')} AND length({_LETTERS_ONLY.format('new')}) > 0
+    AND NOT ((s < 20 OR (s >= 50 AND s < 90)) AND lower(word) <> lower(new))""")
+def heading_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headings = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 20), (50, 90))))
+    rows = spelling.tokens(_docs(spark, sf_dir)).select("doc_id", "pos", "start", "word", F.explode(F.array(F.upper("word"), F.concat("word", F.lit(".")))).alias("new"))
+    return rows.where(spans.keep_cap_punct(F.col("word"), F.col("new"), F.col("start"), headings)).select("doc_id", "pos", "new")
+
+
+@query(f"""WITH {_tokens_sql('documents', 'doc_id')} SELECT doc_id, pos, md5(substr(text, greatest(0, s - 200) + 1, s - greatest(0, s - 200)) || '[MASK]' || substr(text, e + 1, 200)) AS digest,
+    CASE WHEN s >= length(text) // 2 THEN (length(text) // 2) * 3 - 1 ELSE s * 3 + 1 END AS from_offset,
+    CASE WHEN e >= length(text) // 2 THEN (length(text) // 2) * 3 - 1 ELSE (e - 1) * 3 + 2 END AS to_offset FROM tok WHERE pos < 40 AND length(text) >= 2""")
+def masked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets through a map of half of each text, in which character i stands at 3 i + 1."""
+    docs = _docs(spark, sf_dir)
+    rows = spelling.tokens(docs).where("pos < 40").join(docs.where("length(text) >= 2").withColumn("m", F.expr("transform(sequence(0, length(text) div 2 - 1), i -> cast(i * 3 + 1 as int))")), "doc_id")
+    return rows.select("doc_id", "pos", F.md5(text.masked_context("text", "start", "end")).alias("digest"), text.map_offset("start", "m").cast("long").alias("from_offset"), text.map_offset("end", "m", True).cast("long").alias("to_offset"))
+
+
+@query(f"""WITH {_tokens_sql('documents', 'doc_id')}, p AS (SELECT DISTINCT lower(word) AS a, lower(lead(word) OVER (PARTITION BY doc_id ORDER BY pos)) AS b FROM tok),
+q AS (SELECT a, unnest([b, a[2:2] || a[1:1] || a[3:], a || 'x']) AS b FROM p WHERE regexp_matches(a, '^[a-z]+$') AND regexp_matches(b, '^[a-z]+$'))
+SELECT DISTINCT a, b, levenshtein(a, b) AS plain, CASE WHEN damerau_levenshtein(a, b) = 1 THEN 1 ELSE levenshtein(a, b) END AS effective FROM q""")
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = spelling.tokens(_docs(spark, sf_dir)).select(F.lower("word").alias("a"), F.lower(F.lead("word").over(w)).alias("b")).distinct().where("a rlike '^[a-z]+$' and b rlike '^[a-z]+$'")
+    rows = pairs.select("a", F.explode(F.array("b", F.expr("concat(substr(a, 2, 1), substr(a, 1, 1), substr(a, 3))"), F.expr("concat(a, 'x')"))).alias("b")).distinct()
+    return rows.select("a", "b", edits.levenshtein("a", "b").cast("long").alias("plain"), edits.effective_distance("a", "b").cast("long").alias("effective"))
+
+
+@query(f"""WITH {_PAIRS}, o AS (SELECT typed, unnest([left(typed, length(typed) - 1) || 'zz', 'the', reverse(typed)]) AS cand FROM typed WHERE regexp_matches(typed, '^[a-z]+$')),
+f AS (SELECT DISTINCT o.typed, o.cand, coalesce(k.freq, 0) AS freq, CASE WHEN damerau_levenshtein(o.typed, o.cand) = 1 THEN 1 ELSE levenshtein(o.typed, o.cand) END AS ed
+    FROM o LEFT JOIN known k ON k.word = o.cand WHERE o.cand <> o.typed AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.typed = o.typed AND p.cand = o.cand)),
+s AS (SELECT typed, cand, freq, ed FROM pairs UNION ALL SELECT * FROM f),
+g AS (SELECT *, 0.3::DOUBLE * ln(freq + 1) + 0.5::DOUBLE * (1.0::DOUBLE / (1 + ed)) AS raw FROM s WHERE freq > 0 OR ed = 1)
+SELECT typed, cand, ed::BIGINT AS ed, freq, round(raw, 6) AS score, row_number() OVER (PARTITION BY typed ORDER BY raw DESC, cand) AS rank FROM g""")
+def suggested_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool with a suggester's offers: words outside the lexicon count with frequency 0 and go unless one edit away."""
+    known = _known(spark, sf_dir)
+    typed = spelling.unknown_vocabulary(_docs(spark, sf_dir), known)
+    offers = F.explode(F.array(F.expr("concat(left(typed, length(typed) - 1), 'zz')"), F.lit("the"), F.reverse("typed")))
+    offered = typed.where("typed rlike '^[a-z]+$'").select("typed", offers.alias("suggestion"))
+    ranked = spelling.rank_candidates(spelling.candidate_pool(typed, known, offered))
+    return ranked.select("typed", "cand", F.col("ed").cast("long").alias("ed"), "freq", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_tokens_sql('documents', 'doc_id')} SELECT doc_id, pos, a AS "from", greatest(a, b) AS "to" FROM (SELECT doc_id, pos,
+    CASE WHEN s <= 10 THEN s WHEN s < 13 THEN 15 ELSE s + 2 END AS a, CASE WHEN e <= 10 THEN e WHEN e < 13 THEN 10 ELSE e + 2 END AS b FROM tok)""")
+def span_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans after three characters at offset 10 gave way to five others."""
+    docs = _docs(spark, sf_dir)
+    rows = spelling.tokens(docs).select("doc_id", "pos", F.col("start").alias("from"), F.col("end").alias("to"))
+    return spans.remap(rows, docs.select("doc_id", F.lit(10).alias("at"), F.lit(3).alias("removed"), F.lit(5).alias("inserted"))).select("doc_id", "pos", "from", "to")
+
+
+# --- Sources, labels, vectors -----------------------------------------------------------------------------------------
+@query(f"""WITH {_tokens_sql('documents', 'doc_id')}, l AS (SELECT doc_id * 100000 + pos AS n, CASE WHEN pos % 7 = 0 THEN chr(9) || '5' WHEN pos % 7 = 1 THEN word ELSE ' ' || upper(word) || ' ' || chr(9) || CASE pos % 3 WHEN 0 THEN 'x' ELSE pos || 'y' END END AS v FROM tok)
+SELECT lower(trim(split_part(v, chr(9), 1))) AS word, arg_max(coalesce(try_cast(regexp_extract(split_part(v, chr(9), 2), '^([0-9]+)', 1) AS BIGINT), 0), n) AS freq FROM l WHERE instr(v, chr(9)) > 1 GROUP BY 1""")
+def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("pos") % 7
+    value = F.when(p == 0, "\t5").when(p == 1, F.col("word")).otherwise(F.concat(F.lit(" "), F.upper("word"), F.lit(" \t"), F.when(F.col("pos") % 3 == 0, "x").otherwise(F.concat(F.col("pos").cast("string"), F.lit("y")))))
+    return readers.parse_lexicon(spelling.tokens(_docs(spark, sf_dir)).select(value.alias("value"), (F.col("doc_id") * 100000 + F.col("pos")).alias("pos")))
+
+
+@query(f"""WITH {_tokens_sql('documents', 'doc_id')}, l AS (SELECT CASE pos % 4 WHEN 0 THEN '# ' || word WHEN 1 THEN word || chr(9) || '3' WHEN 2 THEN ' ' || word ELSE '' END AS v FROM tok)
+SELECT DISTINCT lower(trim(split_part(v, chr(9), 1))) AS word FROM l WHERE NOT starts_with(trim(v), '#') AND trim(split_part(v, chr(9), 1)) <> ''""")
+def word_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("pos") % 4
+    value = F.when(p == 0, F.concat(F.lit("# "), "word")).when(p == 1, F.concat("word", F.lit("\t3"))).when(p == 2, F.concat(F.lit(" "), "word")).otherwise("")
+    return readers.parse_word_list(spelling.tokens(_docs(spark, sf_dir)).select(value.alias("value")))
+
+
+@query("SELECT doc_id, md5('SET UTF-8' || chr(10) || 'SFX ' || replace(text, chr(10), ' ') || chr(10) || 'NEEDAFFIX b' || chr(10) || 'end') AS digest FROM documents")
+def affix_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An affix file around each text: its first NEEDAFFIX line goes, as does `,1` at the ends of lines."""
+    file = F.concat(F.lit("SET UTF-8,1\nNEEDAFFIX a\nSFX "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(",1\nNEEDAFFIX b\nend,1"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(readers.clean_affixes(file)).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, false AS has_break FROM documents")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lines of the text sink, and read back."""
+    rows = _docs(spark, sf_dir).select("doc_id", readers.line_of(F.col("text")).alias("line"))
+    return rows.select("doc_id", F.md5(readers.text_of(F.col("line"))).alias("digest"), F.col("line").rlike("[\r\n]").alias("has_break"))
+
+
+@query("""WITH c AS (SELECT * FROM (VALUES ('web', 'eu', 'sarea'), ('web', 'es', 'red'), ('wiki', 'eu', 'wikia'), ('code', 'fr', 'code')) AS v(path, lang, label)),
+d AS (SELECT doc_id, source AS path, CASE WHEN lang IN ('es', 'fr') THEN lang ELSE 'eu' END AS l FROM documents)
+SELECT doc_id, coalesce(c.label, f.label, d.path) AS label FROM d LEFT JOIN c ON c.path = d.path AND c.lang = d.l LEFT JOIN c f ON f.path = d.path AND f.lang = 'eu'""")
+def localized_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (("web", "eu", "sarea"), ("web", "es", "red"), ("wiki", "eu", "wikia"), ("code", "fr", "code"))
+    catalog = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("path"), F.lit(b).alias("lang"), F.lit(c).alias("label")) for a, b, c in rows))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), labels.known_language(F.concat(F.upper("lang"), F.lit("-XX")), ("es", "fr")).alias("lang"))
+    return labels.localized(docs, catalog).select("doc_id", "label")
+
+
+@query("""WITH p AS (SELECT vec_id // 10 AS word, vec_id * 7 % 600 AS id FROM embeddings), u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings),
+m AS (SELECT word, d, avg(x) AS m FROM p JOIN u ON u.vec_id = p.id WHERE p.id < 400 GROUP BY 1, 2),
+c AS (SELECT word, sum(x * m) / ((sqrt(sum(x * x)) + 1e-8) * (sqrt(sum(m * m)) + 1e-8)) AS s FROM m JOIN u ON u.vec_id = m.word AND u.d = m.d GROUP BY 1)
+SELECT word, round(s, 6) AS score, round((s + 1) / 2, 6) AS confidence FROM c""")
+def subword_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as means of their pieces' vectors, ids from 400 on having none, against a vector of the word itself."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    means = spelling.mean_vectors(rows.select(F.expr("id div 10").alias("word"), F.expr("id * 7 % 600").alias("id")), rows, 400, "word")
+    met = means.join(rows.select(F.col("id").alias("word"), F.col("vector").alias("own")), "word").select("word", vectors.cosine("own", "vector").alias("s"))
+    return met.select("word", F.round("s", 6).alias("score"), F.round(edits.spelling_confidence("s"), 6).alias("confidence"))
+
+
+@query("SELECT vec_id // 8 AS doc_id, vec_id, CAST(vec_id % 8 // 2 AS INTEGER) AS word_id FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 8 < 6")
+def subword_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight subwords a document, two a word, the last two of no word."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("doc_id"), "vec_id", F.col("vec_id").alias("tok"), F.when(F.col("vec_id") % 8 < 6, F.expr("cast(vec_id % 8 div 2 as int)")).alias("word_id"))
+    return tagging.first_subwords(rows).select("doc_id", "vec_id", "word_id")
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{text.SPACES}]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+c AS (SELECT doc_id, i, sum((length(x) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) - (length(x) + 2) // 3 AS before, (length(x) + 2) // 3 AS n FROM u)
+SELECT doc_id, CAST(sum(least(n, 128 - before)) AS BIGINT) AS pieces, CAST(max(i) AS BIGINT) AS last_word FROM c WHERE before < 128 GROUP BY doc_id""")
+def subword_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in pieces of three characters, at most 128 pieces a text."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 3).cast("int")), lambda i: F.substr(x, i * 3 + 1, F.lit(3)))
+    rows = _docs(spark, sf_dir).select("doc_id", text.plain_tokens("text").alias("w")).select("doc_id", tagging.subword_ids("w", cut).alias("p")).where(F.size("p") > 0)
+    return rows.select("doc_id", F.size("p").cast("long").alias("pieces"), F.array_max(F.transform("p", lambda x: x["word_id"])).cast("long").alias("last_word"))
+
+
+@query("SELECT vec_id // 8 AS doc_id, round(coalesce(avg(CASE WHEN label % 2 = 0 THEN embedding[1]::DOUBLE END), 1.0), 6) AS match_rate FROM embeddings GROUP BY 1")
+def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("doc_id"), F.when(F.col("label") % 2 == 0, F.get("embedding", F.lit(0)).cast("double")).alias("match_rate"))
+    return evaluate.mean_match_rate(rows).select("doc_id", F.round("match_rate", 6).alias("match_rate"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, 'new' AS title, md5(text) AS digest, 5 AS updated FROM documents WHERE doc_id = 7")
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("old").alias("title"), F.col("text").alias("content"), F.lit(1).alias("createdAt"), F.lit(1).alias("updatedAt"))
+    return readers.get_document(readers.update_document(docs, "7", 5, title="new"), "7").select("id", "title", F.md5("content").alias("digest"), F.col("updatedAt").alias("updated"))

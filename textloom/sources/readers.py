@@ -120,9 +120,28 @@ def read_half_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
     return placed.select("start", "content").mapInArrow(decode, "id bigint, vector array<float>")
 
 
+def line_of(text: F.Column) -> F.Column:  # type: ignore[name-defined]
+    """A text as one line: backslash, new line and carriage return as \\\\, \\n and \\r. Null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def text_of(line: F.Column) -> F.Column:  # type: ignore[name-defined]
+    """Undoes `line_of`: its pieces are read from the left."""
+    pieces = F.regexp_extract_all(line, F.lit(r"(\\.|[^\\]+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\\\", "\\").otherwise(p)), "")
+
+
 def write_text(docs: DataFrame, path: str, column: str = "text") -> None:
-    """One line a row, new lines inside a text as spaces."""
-    docs.select(F.regexp_replace(F.coalesce(column, F.lit("")), r"[\r\n]+", " ").alias("value")).write.text(path)
+    """One line a row, as `line_of` has it, so that nothing is lost."""
+    docs.select(line_of(F.col(column)).alias("value")).write.text(path)
+
+
+def read_text(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
+    """What `write_text` wrote."""
+    return spark.read.text(path).select(text_of(F.col("value")).alias(column))
 
 
 def write_html(docs: DataFrame, path: str, column: str = "html") -> None:
