@@ -34,15 +34,20 @@ _MIXERS = mix64(np.arange(1001, 1017, dtype=U64)) | U64(1)
 _TAILS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
+def release() -> None:
+    """Gives memory back to the system that the allocators of this process hold for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Run) -> Run:
-    """run, after which a worker that waits for its next task gives the memory back that the allocators hold."""
+    """run, after which a worker that waits for its next task holds no more than it needs."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release()
 
     return wrapped
 

@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U64, lean, mix64, shingle_sets, slices
+from .bytetext import U64, lean, mix64, release, shingle_sets, slices
 from .components import connected_components
 from .store import among, drop, fresh, kept, scratch, settle, small_batches, text_bytes, whole
 
@@ -160,13 +161,11 @@ def _digest(values: np.ndarray) -> bytes:
     return mix64(np.array([a, b], U64) + U64(len(values))).tobytes()
 
 
-def document_prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int, common: int) -> DataFrame:
+def document_prefixes(docs: DataFrame, table: Broadcast, k: int, percent: int, common: int) -> DataFrame:
     """doc_id, th (hash of the text), n (set size), shareable (how many of the set may be in two documents), node (digest of the set), prefix
     (digest of the whole prefix and of shareable, null without shingles), tokens (the shareable hashes of the prefix, 8
     bytes each; null where there are too few shareable ones for any link)."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(levels)
-    shift = U64(64 - int(levels.size).bit_length() + 1)
+    shift = U64(64 - int(table.value.size).bit_length() + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = table.value
@@ -247,8 +246,10 @@ def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits:
     if table_bits is None:
         table_bits = min(MOST_TABLE_BITS, max(16, (text_bytes(docs) // 16).bit_length()))
     small_batches(docs.sparkSession)
-    levels = frequency_levels(docs, k, table_bits)
-    rows = settle(document_prefixes(docs, levels, k, percent, common), "prefixes")
+    table = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k, table_bits))
+    rows = settle(document_prefixes(docs, table, k, percent, common), "prefixes")
+    table.destroy()  # the rows are settled: no later job, repeated or not, needs it
+    release()
     classes = settle(rows.where("node is not null and doc_id is not null").groupBy("node", "n", "shareable", "prefix").agg(F.min("doc_id").alias("rep")), "classes")
     groups = classes.groupBy("prefix").agg(F.min("rep").alias("grep"), F.count("*").alias("members"))
     heads = classes.join(groups, "prefix").where("rep = grep").groupBy("prefix", "n", "shareable").agg(F.min("node").alias("pivot"), F.min("grep").alias("grep"), F.max("members").alias("members"))
@@ -295,13 +296,14 @@ def _classified(docs: DataFrame, k: int, percent: int, common: int, table_bits:
     met = left.join(right, ["token", "cell"]).where(f"g1 != g2 and (big or g1 < g2) and (c1 != c2 or m1 or m2) and {early}")
     met = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("k1 * k2").alias("k")).distinct()
     met = settle(met.union(state.where("mixed").selectExpr("gid as g1", "gid as g2", "members * members as k")), "met")
-    # Groups of long lists, and those with too many classes to list their pairs.
+    # Groups of long lists, and those with too many classes to list their pairs, if there are any.
     hub = lambda *x: F.encode(F.concat_ws("/", *x), "UTF-8").alias("b")
     through = lists.selectExpr("gid", "token", near).join(long, ["token", "cell"]).select(F.col("gid").alias("a"), hub("token", "cell"))
     wide = met.where(f"k > {heavy * heavy}")
-    edges = settle(through.union(wide.where("g1 != g2").selectExpr("g1 as a", "g2 as b")).union(wide.where("g1 = g2").select(F.col("g1").alias("a"), hub(F.hex("g1")))).distinct(), "meeting")
+    any_ = not long.isEmpty() or not wide.isEmpty()
+    edges = settle(through.union(wide.where("g1 != g2").selectExpr("g1 as a", "g2 as b")).union(wide.where("g1 = g2").select(F.col("g1").alias("a"), hub(F.hex("g1")))).distinct(), "meeting") if any_ else None
     forest = None
-    if not edges.isEmpty():
+    if edges is not None:
         clusters = connected_components(edges).select(F.col("node").alias("prefix"), F.col("root").alias("comp"))
         forest = settle(_links(docs, now.drop("comp").join(clusters, "prefix"), k, percent, side, "forest"), "forest")
     met = met.where(f"k <= {heavy * heavy}").select("g1", "g2")
