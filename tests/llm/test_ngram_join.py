@@ -167,3 +167,18 @@ def test_connected_components(spark):
     out = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(41)) and all(out[50 + i] == 50 for i in range(30)) and out[100] == 50 and out[201] == 200
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_connected_components_of_chains_hubs_and_random_graphs(spark):
+    rng = random.Random(3)
+    chain = [((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)]
+    hubs = [(0, i) for i in range(1, 60)] + [(200, i) for i in range(40, 120)]
+    drawn = [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(280)]
+    for edges in (chain, hubs, drawn, chain + hubs + drawn):
+        root = {x: x for e in edges for x in e if e[0] != e[1]}
+        while any(root[a] != root[b] for a, b in edges if a != b):
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        out = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(out) == len(root) and {r["node"]: r["root"] for r in out} == root
