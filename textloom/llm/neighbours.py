@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytetext import lean
-from .store import kept, scratch, settle
+from .store import drop, kept, scratch, settle
+
+#: Lists of a query that are compared first.
+TIER = 2
 
 
 @dataclass(frozen=True)
@@ -227,7 +230,7 @@ def lifted(x: np.ndarray, norm: float) -> np.ndarray:
 
 
 def _best(vectors: pa.Table, asking: pa.Table, k: int) -> pa.Table:
-    """Of each asking vector the k best other vec_ids of a block, ties to the smaller one."""
+    """Of each asking vector the k best other vec_ids of a block, ties to the smaller one, without those under its `floor`."""
     out = ([], [], [])
     if vectors.num_rows and asking.num_rows:
         v, ids = _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy()
@@ -237,7 +240,7 @@ def _best(vectors: pa.Table, asking: pa.Table, k: int) -> pa.Table:
         columns = np.ascontiguousarray(v.T)
         for i in range(0, asking.num_rows, 64):
             part = asking.slice(i, 64)
-            q, q_ids = _matrix(part["embedding"]), part["vec_id"].to_numpy()
+            q, q_ids, floor = _matrix(part["embedding"]), part["vec_id"].to_numpy(), part["floor"].to_numpy()
             score = np.zeros((len(q), len(v)))
             for d in range(v.shape[1]):  # component by component, so that equal vectors get equal scores
                 score += q[:, d, None] * columns[d]
@@ -246,6 +249,7 @@ def _best(vectors: pa.Table, asking: pa.Table, k: int) -> pa.Table:
             own = ids[first]
             score[q_ids[:, None] == own] = -np.inf
             limit = -np.partition(-score, k - 1, 1)[:, k - 1] if len(own) > k else np.full(len(q), -np.inf)
+            limit = np.maximum(limit, floor)
             for j in range(len(q)):
                 t = np.flatnonzero((score[j] >= limit[j]) & np.isfinite(score[j]))
                 t = t[np.argsort(-score[j][t], kind="stable")][:k]
@@ -293,23 +297,24 @@ def _search(vectors: DataFrame, divisor: int, k: int, options: Options) -> DataF
                         least, ratio = 0.0, options.boundary
                     keep = np.isfinite(far) & ((np.arange(far.shape[1]) < 1) | (far - least <= ratio * (far[:, :1] - least) + 1e-12))
                     at = pa.array(np.repeat(np.arange(len(x)), keep.sum(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep].astype(np.int32)), part.column("vec_id").take(at), part.column("embedding").take(at)], names=["list", "vec_id", "embedding"])
+                    place = np.broadcast_to(np.arange(keep.shape[1], dtype=np.int32), keep.shape)[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep].astype(np.int32)), pa.array(place), part.column("vec_id").take(at), part.column("embedding").take(at)], names=["list", "place", "vec_id", "embedding"])
 
         return run
 
-    posting = "list int, vec_id bigint, embedding array<double>"
-    lists = settle(rows.mapInArrow(lean(assign(False)), posting), "lists")
+    posting = "list int, place int, vec_id bigint, embedding array<double>"
+    lists = settle(rows.mapInArrow(lean(assign(False)), posting).drop("place"), "lists")
     sizes = settle(lists.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.block}) as int)").alias("blocks")), "sizes")
     queries = settle(rows.where(f"vec_id % {divisor} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
 
     def compared(asked: DataFrame) -> DataFrame:
-        """query_id, vec_id, score of each block's best."""
+        """query_id, vec_id, score of each block's best; asked has a `floor` under which nothing counts."""
         counts = asked.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {options.query_block}) as int)").alias("q_blocks"))
         plan = settle(sizes.join(counts, "list"), "blocks")
         left = lists.join(plan, "list").withColumn("block", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)")).withColumn("q_block", F.explode(F.expr("sequence(0, q_blocks - 1)")))
         right = asked.join(plan, "list").withColumn("q_block", F.expr("cast(pmod(xxhash64(vec_id), q_blocks) as int)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
         met = left.select(*(F.col(c).alias(c) for c in ("list", "block", "q_block", "vec_id", "embedding"))).groupBy("list", "block", "q_block").cogroup(
-            right.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("q_block").alias("q"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding")).groupBy("l", "b", "q"))
+            right.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("q_block").alias("q"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"), F.col("floor").alias("floor")).groupBy("l", "b", "q"))
         return met.applyInArrow(lambda a, b: _best(a, b, k), "query_id bigint, vec_id bigint, score double")
 
     asked = settle(queries.mapInArrow(lean(assign(True)), posting), "asked")
@@ -319,11 +324,23 @@ def _search(vectors: DataFrame, divisor: int, k: int, options: Options) -> DataF
         merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return merged.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
-    found = settle(best_of(compared(asked)), "found")
+    # Nearest lists first, four times as many each time: what is under the k-th best so far cannot be among the k best.
+    none = F.lit(float("-inf"))
+    found, start, end = None, 0, TIER
+    while start < index.probes:
+        part = asked.where(f"place >= {start} and place < {end}")
+        if found is None:
+            found = settle(best_of(compared(part.withColumn("floor", none))), "found")
+        else:
+            floors = found.where(f"rank = {k}").select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+            more = compared(settle(part.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none)), "further"))
+            before, found = found, settle(best_of(found.select("query_id", "vec_id", "score").union(more)), "found")
+            drop(before)
+        start, end = end, 4 * end
     due = min(k, rows.select("vec_id").distinct().count() - 1)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {due}").select(F.col("query_id").alias("vec_id"))
     short = settle(queries.join(full, "vec_id", "left_anti"), "short")
     if due <= 0 or short.isEmpty():
         return found
-    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list"), "vec_id", "embedding")
+    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list"), "vec_id", "embedding").withColumn("floor", none)
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").union(best_of(compared(every)))
